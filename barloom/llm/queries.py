@@ -5,15 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import rotate
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_groups
+from .mixing import mix
+from .shared import shared_dir
 from .substring_dedup import remove_repeats
+from .token_store import TokenStore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    store = TokenStore.write(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return store.fetch(docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Good documents weigh 2, poor ones 0.5; documents without a label weigh 1 in the mix."""
+    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"), quality_weights(_table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -27,12 +53,37 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_substring_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_mix_sources, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLES = {
+    "op3_mix_sources": f"""
+        WITH q AS (SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM labels GROUP BY doc_id),
+        d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size,
+                -ln((('0x' || substr(sha256('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / coalesce(w, 1.0) AS key
+              FROM documents LEFT JOIN q USING (doc_id)),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS cap FROM s),
+        x AS (SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+              FROM r WINDOW w AS (ORDER BY cap / weight, source ASC NULLS LAST)),
+        t AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT arg_min(rate, cap / weight) FROM x WHERE rate * weight <= cap), cap)) AS target FROM x),
+        c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs,
+                sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN target - epochs * source_size > 0 AND upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c""",
+    "op9_chat_rotation": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') AS said FROM conversations),
+        v AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        s AS (SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role, said
+              FROM t JOIN v ON conv_id IS NOT DISTINCT FROM c),
+        h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '\s+', '_', 'g') ELSE '' END || chr(10) AS head FROM s),
+        g AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM h),
+        e AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment ROWS UNBOUNDED PRECEDING))::BIGINT AS "end" FROM g)
+        SELECT conv_id, perspective, turn, speaker, role, segment, "end" - length(segment) AS start, "end",
+               CASE WHEN role = 'assistant' THEN "end" - length(segment) + length(head) ELSE "end" END AS mask_start,
+               CASE WHEN role = 'assistant' THEN "end" - 1 ELSE "end" END AS mask_end FROM e""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
