@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import rotate
+from .decontaminate import leaks
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_groups
+from .language_id import Model, held_out, identify
+from .lm_score import score
 from .mixing import mix
 from .shared import shared_dir
 from .substring_dedup import remove_repeats
@@ -40,6 +43,21 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = Model.train(docs.where(~held_out(F.col("doc_id"), 5, 0)))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_mix_sources, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"

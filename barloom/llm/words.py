@@ -52,6 +52,11 @@ def _window_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (total[ends] - total[starts]) * _powers(inverse, len(values))[starts]
 
 
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of raw[s:e] for each pair."""
+    return mix(_window_hash((_FOLDED if lower else _BYTES)[raw], starts, ends, _BASE))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and each row's bounds in them; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -63,22 +68,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, word starts, word ends) over pieces of about 1 MB that end where no word goes on."""
+def word_bounds(raw: np.ndarray, bounds: np.ndarray, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, word starts, word ends) over pieces of about 1 MB that end where no word goes on; gap: the bytes between words."""
     breaks = bounds[:-1][np.diff(bounds) > 0]
     at = 0
     while at < len(raw):
         to = min(len(raw), at + _CHUNK)
-        while to < len(raw) and not _SPACE[raw[to]]:
+        while to < len(raw) and not gap[raw[to]]:
             nxt = breaks[np.searchsorted(breaks, to)] if len(breaks) and breaks[-1] >= to else len(raw)
-            spaces = np.flatnonzero(_SPACE[raw[to : min(nxt, to + 4096)]])
+            spaces = np.flatnonzero(gap[raw[to : min(nxt, to + 4096)]])
             if len(spaces):
                 to += int(spaces[0])
                 break
             to = int(min(nxt, to + 4096))
             if to == nxt:
                 break
-        solid = ~_SPACE[raw[at:to]]
+        solid = ~gap[raw[at:to]]
         fresh = np.ones(to - at, bool)
         fresh[1:] = ~solid[:-1]
         lo, hi = np.searchsorted(breaks, [at, to])
@@ -93,10 +98,9 @@ def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int,
 def hash_words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word in order, and each row's bounds among them.  lower: A-Z count as a-z."""
     raw, bounds = text_bytes(column)
-    table = _FOLDED if lower else _BYTES
     hashes, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for at, to, starts, ends in word_bounds(raw, bounds):
-        hashes.append(mix(_window_hash(table[raw[at:to]], starts, ends, _BASE)))
+        hashes.append(hash_spans(raw[at:to], starts, ends, lower))
         places.append(starts + at)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
 
