@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import rotate
 from .decontaminate import leaks
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .jaccard_join import similar_groups
 from .language_id import Model, held_out, identify
 from .lm_score import score
@@ -29,6 +30,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fetch(docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Good documents weigh 2, poor ones 0.5; documents without a label weigh 1 in the mix."""
     return labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
@@ -71,7 +76,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
