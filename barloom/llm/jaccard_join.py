@@ -87,7 +87,7 @@ def _send(width: int, share: float, parts: int):
     """Each piece of each distinct set of a slice, packed by hash range: (part, head, pieces)."""
     def run(batches):
         for batch in batches:
-            for rows in slices(batch, "text", 16 << 20):
+            for rows in slices(batch, "text"):
                 sets = {_signature(s): s for s in shingle_sets(rows.column("text"), width) if len(s)}
                 sigs, need, size, keys = [], [], [], []
                 for sig, s in sets.items():
