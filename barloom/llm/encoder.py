@@ -7,18 +7,53 @@ one after the other.  Words are cut at the space and the line feed only; anythin
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
-import numpy as np
+#: Letters that the normaliser changes only by folding case, one letter to one, and the pre-tokenizer keeps in one piece
+_PLAIN = frozenset(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xDF), *range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
+#: Words, and pieces of words, that a worker remembers, about 60 MB each; when full it starts anew, results are the same
+_MOST = 300_000
 
-#: What the pre-tokenizer keeps as one piece and no normaliser but lower-casing changes: a run of these letters
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-#: Words that a worker remembers: about 150 MB; when full it starts anew, results are the same
-_MOST = 500_000
+
+class _Pieces(dict):
+    """Packed ids of runs of plain letters, lower case, or of stops."""
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenize, self.code = tokenizer.model.tokenize, code
+        # bytes as the byte-level pre-tokenizer writes them
+        shown = {c: tokenizer.pre_tokenizer.pre_tokenize_str(c.lower()) for c in _PLAIN if not c.isascii()}
+        self.shown = {ord(c.lower()): got[0][0] for c, got in shown.items() if len(got) == 1}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _MOST:
+            self.clear()
+        text = piece if piece.isascii() else piece.translate(self.shown)
+        got = self[piece] = array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
+        return got
+
+
+class _Words(dict):
+    """Packed ids of words; a plain word is looked up by its letters and the stops after it."""
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenizer, self.code, self.pieces = tokenizer, code, _Pieces(tokenizer, code)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _MOST:
+            self.clear()
+        letters = word.rstrip(".,")
+        if letters.isalpha() and (letters.isascii() or _PLAIN.issuperset(letters)):
+            got = self.pieces[letters.lower()]
+            if len(letters) < len(word):
+                got += self.pieces[word[len(letters) :]]
+        else:
+            got = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
 
 
 class Encoder:
-    """Encodes with a tokenizers file; one per worker and file."""
+    """Encodes with a tokenizers file; one per worker and file.  width: bytes of a packed id, 2 if the vocabulary allows."""
 
     _shared: dict[str, "Encoder"] = {}
 
@@ -33,61 +68,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.by_words = self._words_stand_alone()
-        # bytes as the byte-level pre-tokenizer writes them, for the letters above
-        shown = {}
-        for code in [*range(0x61, 0x7B), *range(0xC0, 0x100)]:
-            letter = chr(code)
-            got = self.tokenizer.pre_tokenizer.pre_tokenize_str(letter) if self.by_words else []
-            if len(got) == 1:
-                shown[code] = got[0][0]
-        self.shown = shown
+        if self.by_words:
+            self.words = _Words(self.tokenizer, self.code)
 
     def _words_stand_alone(self) -> bool:
         """Whether this file drops white space and folds case, so that words can be encoded by themselves."""
         one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         sample = ["Hello,", "wörld's", "a1b", "x.", "'s", "--", "İß", "<|endoftext|>"]
-        return one(" \n".join(sample)) == sum(map(one, sample), []) and one("ABC DEF") == one("abc def") and self.tokenizer.model.__class__.__name__ == "BPE"
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= _MOST:
-                self.pieces.clear()
-            got = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-        return got
+        return one(" \n".join(sample)) == sum(map(one, sample), []) and one("ABC DEF") == one("abc def") and type(self.tokenizer.model).__name__ == "BPE"
 
-    def _learn(self, words: list[str]) -> None:
-        odd = []
-        for word in words:
-            whole = _LETTERS.fullmatch(word)
-            if whole:
-                letters, stops = whole.groups()
-                text = letters.lower()
-                if not text.isascii():
-                    text = text.translate(self.shown)
-                self.known[word] = self._piece(text) + self._piece(stops) if stops else self._piece(text)
-            else:
-                odd.append(word)
-        for at in range(0, len(odd), 1000):
-            some = odd[at : at + 1000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian uint32; None is an empty text."""
+        """The packed ids of each text; None is an empty text."""
         if not self.by_words:
-            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ") if text else []
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > _MOST:
-                    self.known.clear()
-                    new = set(words)
-                self._learn(list(new))
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+            return [self.pack(self.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        known = self.words.__getitem__
+        return [b"".join(map(known, text.replace("\n", " ").split(" "))) if text else b"" for text in texts]

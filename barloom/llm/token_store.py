@@ -2,7 +2,7 @@
 
 Layout under one folder, all little-endian:
 
-* ``shard-K.ids``    uint32 token ids of consecutive documents (ascending doc_id), each closed by the end id
+* ``shard-K.ids``    token ids, uint16 if the vocabulary allows and else uint32, of consecutive documents (ascending doc_id), each closed by the end id
 * ``index-P.mph``    for the keys whose hash falls in index part P: the hash's bit levels, then by slot
   a stored fingerprint (uint32), shard (uint32), first id in the shard (uint64), number of ids (uint64)
 
@@ -124,7 +124,7 @@ def _shards(folder: str, tokenizer: str, end_id: int):
 
         shard = TaskContext.get().partitionId()
         encoder = Encoder.shared(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = encoder.pack([end_id])
         places: list[pa.RecordBatch] = []
 
         def payload() -> Iterator[bytes]:
@@ -132,7 +132,7 @@ def _shards(folder: str, tokenizer: str, end_id: int):
             for batch in batches:
                 for part in slices(batch, "text"):
                     blobs = [x + end for x in encoder.encode(part.column("text").to_pylist())]
-                    n = np.array([len(x) // 4 for x in blobs], np.int64)
+                    n = np.array([len(x) // encoder.width for x in blobs], np.int64)
                     at = first + np.concatenate([[0], np.cumsum(n)[:-1]])
                     first += int(n.sum())
                     nth = []
@@ -170,8 +170,8 @@ def _index(folder: str):
 class TokenStore:
     """A folder of shards and index parts, with its small manifest."""
 
-    def __init__(self, spark: SparkSession, folder: str, places: DataFrame, starts: DataFrame, parts: int):
-        self.spark, self.folder, self.places, self.starts, self.parts = spark, folder, places, starts, parts
+    def __init__(self, spark: SparkSession, folder: str, places: DataFrame, starts: DataFrame, parts: int, width: int):
+        self.spark, self.folder, self.places, self.starts, self.parts, self.width = spark, folder, places, starts, parts, width
 
     @classmethod
     def write(cls, docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shards: int | None = None) -> TokenStore:
@@ -201,7 +201,7 @@ class TokenStore:
         for row in sums:
             starts.append((row.shard, at))
             at += row.n
-        return cls(spark, folder, places, spark.createDataFrame(starts, "shard int, base long"), n)
+        return cls(spark, folder, places, spark.createDataFrame(starts, "shard int, base long"), n, Encoder.shared(tokenizer).width)
 
     def fetch(self, keys: DataFrame) -> DataFrame:
         """The stored documents of keys (doc_id), found by the index alone.
@@ -218,7 +218,7 @@ class TokenStore:
         wanted = wanted.withColumn("part", F.pmod(F.xxhash64("key", "nth"), F.lit(self.parts)).cast("int"))
         hits = wanted.groupBy("part").applyInArrow(_lookup(folder), "key long, shard int, first long, n_tokens long")
         read = hits.repartition(partitions(self.spark), "shard", (F.col("first") / F.lit(1 << 22)).cast("long")).sortWithinPartitions("shard", "first")
-        sized = read.mapInArrow(_payloads(folder), "key long, shard int, first long, n_tokens long, ids_crc32 long")
+        sized = read.mapInArrow(_payloads(folder, self.width), "key long, shard int, first long, n_tokens long, ids_crc32 long")
         found = sized.join(F.broadcast(self.starts), "shard")
         return found.select(F.when(F.col("key") != _NULL_KEY, F.col("key")).alias("doc_id"), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "shard", "first")
 
@@ -245,8 +245,8 @@ def _lookup(folder: str):
     return run
 
 
-def _payloads(folder: str):
-    """Read each hit's ids from its shard."""
+def _payloads(folder: str, width: int):
+    """Read each hit's ids from its shard; checksums are of the ids as uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, file = None, None
@@ -258,14 +258,14 @@ def _payloads(folder: str):
                         file.close()
                     shard, file = k, _read(folder, f"shard-{k}.ids")
                 crc = 0
-                file.seek(4 * first)
-                left = 4 * n
+                file.seek(width * first)
+                left = width * n
                 while left:
                     got = file.read(min(left, 1 << 24))
                     if not got:
                         raise OSError(f"shard {k} ends early")
-                    crc = zlib.crc32(got, crc)
                     left -= len(got)
+                    crc = zlib.crc32(np.frombuffer(got, f"<u{width}").astype("<u4").tobytes(), crc)
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "shard", "first", "n_tokens")), pa.array(sums, pa.int64())], ["key", "shard", "first", "n_tokens", "ids_crc32"])
         if file:
