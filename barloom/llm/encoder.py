@@ -11,8 +11,8 @@ from array import array
 
 #: Letters that the normaliser changes only by folding case, one letter to one, and the pre-tokenizer keeps in one piece
 _PLAIN = frozenset(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xDF), *range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
-#: Words, and pieces of words, that a worker remembers, about 60 MB each; when full it starts anew, results are the same
-_MOST = 300_000
+#: Words, and pieces of words, that a worker remembers, about 40 MB each; when full it starts anew, results are the same
+_MOST = 200_000
 
 
 class _Pieces(dict):
