@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import compute
 from ..operators import regime as regimes
+from ..operators.quality import Limits as QualityLimits
 from ..operators.quality import validate
 from ..operators.risk import Limits, evaluate
 from .strategy import Strategy, decide
@@ -25,7 +26,7 @@ class Slot:
     health: float = 1.0
 
 
-def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot], portfolios: DataFrame, positions: DataFrame, benchmark: str | None = None, sectors: DataFrame | None = None, limits: Limits = Limits(), correlations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot], portfolios: DataFrame, positions: DataFrame, benchmark: str | None = None, sectors: DataFrame | None = None, limits: Limits = Limits(), correlations: DataFrame | None = None, quality: QualityLimits = QualityLimits()) -> tuple[DataFrame, DataFrame]:
     """(signals, invalid) at asof.
 
     signals: one row per symbol and tradable strategy whose last known bar decides to enter: side, entry, stop, target,
@@ -33,7 +34,7 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
     The benchmark is cut at asof like all others, and is not scanned itself.
     """
     known = bars.where(F.col("available_at") <= asof)
-    checked = validate(known, calendar, "1d", asof)
+    checked = validate(known, calendar, "1d", asof, limits=quality)
     clean = checked.bars
     errors = checked.issues.where("severity = 'ERROR'").groupBy("symbol").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     trend = None
