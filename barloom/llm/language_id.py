@@ -110,7 +110,9 @@ class Model:
         best = int(scores.sum(0).argmax())
         gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
         floor = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
-        if (gain - floor).max() <= penalty:  # no run of words gains more than the switch to it costs
+        # k runs of words in other languages take k - 1 switches at least, and one run over all words gains nothing:
+        # if no run gains more than half a switch, no path beats staying
+        if (gain - floor).max() <= penalty / 2:
             return np.full(n, best)
         back = np.zeros((n, k), np.int16)
         value = scores[0].astype(np.float64)

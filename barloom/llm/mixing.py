@@ -47,17 +47,16 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return rows.withColumn("target", F.coalesce(level * F.col("weight"), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bins: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bins: int = 1024, size: str | None = None) -> DataFrame:
     """How many words of each document the mix takes.
 
-    docs: doc_id, source, and text or size (words).  quality: doc_id, weight > 0, one row per doc_id; others weigh 1.
+    docs: doc_id, source, text; size names a column of word counts to use instead of counting.  quality: doc_id, weight > 0, one row per doc_id; others weigh 1.
     One row per row of docs: doc_id, size, source, source_size, target, taken, a multiple of size.
     A source's taken words are within half a document of its target, when that document's words straddle it.
     A null text has no words; a null source is a source; rows that repeat a doc_id have the
     same key and are drawn one after the other.  An empty table gives no rows, a source without words a target of 0.
     """
-    size = F.col("size").cast("long") if "size" in docs.columns else word_count(F.col("text"))
-    rows = docs.select("doc_id", "source", size.alias("size"))
+    rows = docs.select("doc_id", "source", (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("size"))
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id"), F.col("weight").alias("quality_weight")), "doc_id", "left")
     else:
