@@ -16,7 +16,7 @@ from ..sources import bars as src
 from ..sources.calendar import weekday_calendar
 from ..streaming.bars import stream_bars, stream_sessions
 from ..streaming.paper import replay
-from .base import BARS, CALENDAR_SPAN, HOUR_BARS, table, tidy
+from .base import BARS, CALENDAR_SPAN, HOUR_BARS, SHIP_BARS, table, tidy
 
 _W = "PARTITION BY run_id ORDER BY ts"
 #: Each priority's closes as an equity curve, and each order as a trade
@@ -84,11 +84,11 @@ def baseline_risk_free(spark, sf):
 
 def _returns(spark, sf):
     specs = [Spec.of("ret")]
-    got = compute(src.order_bars(spark, sf), specs)
+    got = compute(src.shipment_bars(spark, sf), specs)
     return got.select("ts", F.col("symbol").alias("name"), F.col(f"`{specs[0].key}`").alias("ret")).where("ret is not null")
 
 
-_NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_NAMES = ["A", "N", "R"]
 
 
 def portfolio_covariance(spark, sf):
@@ -99,7 +99,7 @@ def portfolio_covariance(spark, sf):
 
 def portfolio_allocation(spark, sf):
     """O2: three methods."""
-    rows = [(k, n, w) for k in ("inverse_vol", "min_variance", "risk_parity") for n, w in portfolio.allocate(_returns(spark, sf), {"5-LOW": 0.8}, method=k).items()]
+    rows = [(k, n, w) for k in ("inverse_vol", "min_variance", "risk_parity") for n, w in portfolio.allocate(_returns(spark, sf), {"R": 0.8}, method=k).items()]
     return tidy(spark.createDataFrame(rows, "method string, name string, weight double"))
 
 
@@ -128,7 +128,7 @@ def calibrated_confidence(spark, sf):
 def strategy_decay(spark, sf):
     """O7 on each priority's trades."""
     rows = []
-    for name in _NAMES[:2]:
+    for name in ("1-URGENT", "2-HIGH"):
         got = portfolio.decay(_trades(spark, sf).where(F.col("run_id") == name).where("seq % 40 = 0"), {"win_rate": 0.55, "expectancy_r": 0.2, "equity": 1e7, "mc_p5_drawdown": -0.3})
         rows.append((name, got["n_trades"], got["health"], got["recommendation"]))
     return tidy(spark.createDataFrame(rows, "name string, n_trades long, health double, recommendation string"))
@@ -371,9 +371,9 @@ ORACLES = {
     "trade_report_cube": f"WITH {_TRADES}, t AS (SELECT *, year(exit_ts)::INT AS year FROM trades) SELECT run_id, year, count(*) AS n, round(sum(pnl), 2) + 0.0 AS pnl, grouping(run_id, year)::INT AS level FROM t GROUP BY CUBE (run_id, year)",
     "baseline_buy_and_hold": f"WITH {BARS}, f AS (SELECT symbol, arg_min(close, ts) * (1 + 7.5 / 1e4) AS px FROM bars GROUP BY symbol), q AS (SELECT *, 10000 / (px * 1.001) AS q0 FROM f), h AS (SELECT *, least(q0, (10000 - q0 * px * 0.001) / px) AS qty FROM q), c AS (SELECT *, 10000 - qty * px - qty * px * 0.001 AS cash FROM h) SELECT symbol, ts, round(cash + qty * close, 6) + 0.0 AS equity, round(qty * close / (cash + qty * close), 6) + 0.0 AS gross_exposure FROM bars JOIN c USING (symbol)",
     "baseline_risk_free": f"WITH {BARS} SELECT symbol, ts, round(10000 * (1.03 ** (1.0 / 252)) ** (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1), 6) + 0.0 AS equity FROM bars",
-    "portfolio_covariance": f"""WITH {BARS}, r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars), d AS (SELECT ts FROM r WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = 5), x AS (SELECT * FROM r SEMI JOIN d USING (ts) WHERE ret IS NOT NULL),
+    "portfolio_covariance": f"""WITH {SHIP_BARS}, r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars), d AS (SELECT ts FROM r WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = 3), x AS (SELECT * FROM r SEMI JOIN d USING (ts) WHERE ret IS NOT NULL),
         p AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) AS c, corr(a.ret, b.ret) AS k, stddev_samp(a.ret) AS sa, stddev_samp(b.ret) AS sb, count(*) AS n FROM x a JOIN x b USING (ts) GROUP BY ALL), m AS (SELECT avg(k) FILTER (a <> b) AS k FROM p)
-        SELECT a, b, round((1 - 5.0 / (5 + n)) * c + 5.0 / (5 + n) * CASE WHEN a = b THEN sa * sa ELSE m.k * sa * sb END, 6) + 0.0 AS cov FROM p, m""",
+        SELECT a, b, round((1 - 3.0 / (3 + n)) * c + 3.0 / (3 + n) * CASE WHEN a = b THEN sa * sa ELSE m.k * sa * sb END, 6) + 0.0 AS cov FROM p, m""",
     "calibration_table": f"WITH {_CAL} SELECT bin, round(lo_edge, 6) + 0.0 AS lo_edge, round(hi_edge, 6) + 0.0 AS hi_edge, n, round(p, 6) + 0.0 AS win_rate, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / d, 6) + 0.0 AS ci_low, round((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / d, 6) + 0.0 AS ci_high, n >= 30 AS usable FROM c",
     "calibrated_confidence": f"WITH {_CAL} SELECT event_id, round(value, 6) + 0.0 AS score, round((SELECT p FROM c WHERE c.bin = greatest(0, least(len(list_filter(edges, lambda x: x <= value)) - 1, len(edges) - 2))::INT), 6) + 0.0 AS confidence FROM events, edges WHERE event_id < 200",
     "risk_decisions": _risk_sql(_L) + ", round(CASE WHEN approved THEN qty * dist ELSE 0 END, 6) + 0.0 AS risk_amount, round(CASE WHEN approved THEN qty * entry ELSE 0 END, 6) + 0.0 AS notional, array_to_string(reasons, '; ') AS reasons, CASE WHEN len(blocks) > 0 THEN '' ELSE array_to_string(adj, '; ') END AS adjustments FROM z",
@@ -389,7 +389,7 @@ ORACLES = {
     "walk_forward_folds": f"""WITH {BARS}, l AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM bars)), f AS (SELECT i::INT AS fold, i * 126 AS s FROM range(0, 1000) t(i) WHERE i * 126 + 504 + 5 + 126 + 5 + 126 <= (SELECT max(n) FROM l)),
         p AS (SELECT fold, 'train' AS part, s AS a, s + 503 AS b FROM f UNION ALL SELECT fold, 'validate', s + 509, s + 634 FROM f UNION ALL SELECT fold, 'test', s + 640, s + 765 FROM f)
         SELECT fold, part, strftime(x.ts, '%Y-%m-%d') AS first_day, strftime(y.ts, '%Y-%m-%d') AS last_day FROM p JOIN l x ON x.k = a JOIN l y ON y.k = b""",
-    "monte_carlo_shuffle": f"""WITH {_TRADES}, t AS (SELECT run_id, pnl / 1e4 AS pnl, 10000 + sum(pnl / 1e4) OVER (PARTITION BY run_id ORDER BY exit_ts, seq) - pnl / 1e4 AS before FROM trades WHERE seq % 20 = 0) SELECT run_id, count(*)::INT AS n_trades, true AS fixed, round(product(1 + pnl / before) - 1, 4) + 0.0 AS final FROM t GROUP BY run_id""",
+    "monte_carlo_shuffle": f"""WITH {_TRADES}, t AS (SELECT run_id, pnl / 1e4 AS pnl, 10000 + sum(pnl / 1e4) OVER (PARTITION BY run_id ORDER BY exit_ts, seq) - pnl / 1e4 AS before FROM trades WHERE seq % 20 = 0) SELECT run_id, count(*)::INT AS n_trades, CASE WHEN count(*) >= 30 THEN true END AS fixed, CASE WHEN count(*) >= 30 THEN round(product(1 + pnl / before) - 1, 4) + 0.0 END AS final FROM t GROUP BY run_id""",
     "stream_bars_batch": f"WITH {HOUR_BARS} SELECT symbol, ts, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, volume FROM bars",
     "stream_session_windows": """WITH e AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM e)
         SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY symbol, k""",

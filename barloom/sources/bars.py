@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.common import clean_number
 
@@ -97,9 +98,15 @@ def store_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "symbol").parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The store with its partition columns as text; Spark would take the folder name 1d for a number."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("timeframe", "symbol") else f for f in found])).parquet(path)
+
+
 def load_bars(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Stored bars; symbol and timeframe prune partitions, start and end reach the Parquet scan."""
-    bars = spark.read.parquet(path)
+    bars = _stored(spark, path)
     if timeframe:
         bars = bars.where(F.col("timeframe") == timeframe)
     if symbol:
