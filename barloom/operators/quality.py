@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import yes
+from ..plans.state import cut
+
 VALUES = ["open", "high", "low", "close", "volume"]
 #: Severity of each rule
 SEVERITY = {
@@ -24,7 +27,6 @@ class Limits:
     missing_ratio: float = 0.02
     stale_sessions: int = 3
     short_session: int = 4
-    examples: int = 50
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,10 @@ class Validated:
         return parts.select(F.sha2(F.concat_ws("|", F.lit(",".join(columns)), "n", "x", "s"), 256)).first()[0]
 
 
-def _flag(code: str, rows: DataFrame, limits: Limits, severity: Column | None = None) -> DataFrame:
-    kind = severity if severity is not None else F.lit(SEVERITY[code])
-    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("symbol", F.lit(code).alias("code"), kind.alias("severity"), "n", "first_ts", "last_ts")
+def _flag(code: str, rows: DataFrame) -> DataFrame:
+    """One issue row per symbol of rows (symbol, ts)."""
+    sums = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return sums.select("symbol", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), "n", "first_ts", "last_ts")
 
 
 def impossible() -> Column:
@@ -61,47 +64,43 @@ def validate(bars: DataFrame, calendar: DataFrame, timeframe: str, asof: Column,
     concerned, the first and the last of them.  A symbol with an ERROR is left out of the clean bars and
     listed in failed; others are not touched by it.
     """
-    found: list[DataFrame] = []
-    order = F.col(ordinal) if ordinal else F.lit(0)
-    rows = bars.withColumn("_ord", order)
-    if universe is not None:
-        none = universe.select("symbol").distinct().join(bars.select("symbol").distinct(), "symbol", "left_anti").withColumn("ts", F.lit(None).cast("timestamp"))
-        found.append(_flag("EMPTY", none, limits))
-    if dict(bars.dtypes)["ts"] == "timestamp_ntz":
-        found.append(_flag("NAIVE_TIMESTAMPS", bars, limits))
-        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    if ordinal:
-        back = F.col("ts") < F.lag("ts").over(Window.partitionBy("symbol").orderBy("_ord"))
-        found.append(_flag("UNSORTED", rows.withColumn("_back", back).where("_back"), limits))
-    stamp = Window.partitionBy("symbol", "ts")
+    naive = dict(bars.dtypes)["ts"] == "timestamp_ntz"
+    rows = bars.withColumns({"_ord": F.col(ordinal) if ordinal else F.lit(0), "ts": F.col("ts").cast("timestamp")})
+    stamp, arrival = Window.partitionBy("symbol", "ts"), Window.partitionBy("symbol").orderBy("_ord")
     differs = reduce(Column.__or__, [F.coalesce(F.min(c).over(stamp) != F.max(c).over(stamp), F.lit(False)) for c in VALUES])
-    rows = rows.withColumns({"_differs": differs, "_nth": F.row_number().over(stamp.orderBy("_ord", *VALUES))})
-    found.append(_flag("CONFLICTING_DUPLICATES", rows.where("_differs and _nth = 1"), limits))
-    found.append(_flag("DUPLICATES", rows.where("_nth > 1"), limits))
-    rows = rows.where("_nth = 1").drop("_differs", "_nth", "_ord")
-    found.append(_flag("FUTURE_TIMESTAMPS", rows.where(F.col("ts") > asof), limits))
-    found.append(_flag("NON_SESSION_BARS", rows.where("available_at is null"), limits))
-    rows = rows.where("available_at is not null")
+    rows = rows.withColumns({"_differs": differs, "_nth": F.row_number().over(stamp.orderBy("_ord", *VALUES)), "_back": yes(F.col("ts") < F.lag("ts").over(arrival)) if ordinal else F.lit(False)})
+    first, placed = F.col("_nth") == 1, F.col("available_at").isNotNull()
     gaps = reduce(Column.__or__, [F.col(c).isNull() | F.isnan(c) for c in VALUES])
-    found.append(_flag("NAN_VALUES", rows.where(gaps), limits))
-    rows = rows.where(~gaps)
-    found.append(_flag("IMPOSSIBLE_OHLC", rows.where(impossible()), limits))
-    clean = rows.where(~impossible())
-    lost = bars.select("symbol").distinct().join(clean.select("symbol").distinct(), "symbol", "left_anti").withColumn("ts", F.lit(None).cast("timestamp"))
-    found.append(_flag("EMPTY_AFTER_CLEAN", lost, limits))
-    line = Window.partitionBy("symbol").orderBy("ts")
-    move = F.abs(F.ln("close") - F.ln(F.lag("close").over(line)))
-    found.append(_flag("EXTREME_MOVE", clean.withColumn("_move", move).where(F.col("_move") > limits.extreme_move), limits))
-    quiet = clean.withColumn("_quiet", F.col("volume") == 0)
-    quiet = quiet.withColumn("_island", F.sum(F.when(F.col("_quiet"), 0).otherwise(1)).over(line)).where("_quiet")
-    runs = quiet.withColumn("_run", F.count(F.lit(1)).over(Window.partitionBy("symbol", "_island"))).where(F.col("_run") >= limits.zero_run)
-    found.append(_flag("ZERO_VOLUME_RUN", runs, limits))
+    whole = first & placed & ~gaps
+    alive = whole & ~yes(impossible())
+    rows = rows.withColumn("_alive", alive)
+    # what was dropped stands in a partition of its own, so clean rows follow one another
+    line = Window.partitionBy("symbol", "_alive").orderBy("ts")
+    rows = rows.withColumns({"_move": F.abs(F.ln("close") - F.ln(F.lag("close").over(line))), "_quiet": F.col("_alive") & (F.col("volume") == 0)})
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("_quiet"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_run", F.count(F.when(F.col("_quiet"), 1)).over(Window.partitionBy("symbol", "_alive", "_island")))
+    flags = {
+        "NAIVE_TIMESTAMPS": F.lit(naive), "UNSORTED": F.col("_back"), "CONFLICTING_DUPLICATES": F.col("_differs") & first, "DUPLICATES": ~first, "FUTURE_TIMESTAMPS": first & (F.col("ts") > asof), "NON_SESSION_BARS": first & ~placed,
+        "NAN_VALUES": first & placed & gaps, "IMPOSSIBLE_OHLC": whole & yes(impossible()), "EXTREME_MOVE": F.col("_alive") & (F.col("_move") > limits.extreme_move), "ZERO_VOLUME_RUN": F.col("_quiet") & (F.col("_run") >= limits.zero_run),
+    }
+    codes = F.filter(F.array(*[F.when(yes(cond), F.lit(code)) for code, cond in flags.items()]), lambda c: c.isNotNull())
+    # every rule and every later reader uses these rows; they are computed once
+    judged = cut(rows.withColumn("_codes", codes).drop("_ord", "_differs", "_nth", "_back", "_move", "_quiet", "_island", "_run"))
+    clean = judged.where("_alive").drop("_alive", "_codes")
+    each = judged.select("symbol", "ts", F.explode("_codes").alias("code"))
+    kinds = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    found = [each.groupBy("symbol", "code").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("symbol", "code", kinds[F.col("code")].alias("severity"), "n", "first_ts", "last_ts")]
+    if universe is not None:
+        none = universe.select("symbol").distinct().join(bars.select("symbol").distinct(), "symbol", "left_anti").withColumn("ts", F.lit(None).cast("timestamp"))
+        found.append(_flag("EMPTY", none))
+    lost = judged.groupBy("symbol").agg(F.max("_alive").alias("any")).where("not any").select("symbol", F.lit(None).cast("timestamp").alias("ts"))
+    found.append(_flag("EMPTY_AFTER_CLEAN", lost))
     if timeframe == "1d":
         found += _session_rules(clean, calendar, asof, limits)
     if timeframe == "1h":
         short = clean.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("k"), F.min("ts").alias("ts")).where(F.col("k") < limits.short_session)
-        found.append(_flag("SHORT_SESSIONS", short, limits))
-    issues = reduce(DataFrame.unionByName, found)
+        found.append(_flag("SHORT_SESSIONS", short))
+    issues = cut(reduce(DataFrame.unionByName, found))  # a few rows a symbol
     failed = issues.where("severity = 'ERROR'").select("symbol").distinct()
     return Validated(clean.join(failed, "symbol", "left_anti"), issues, failed)
 
