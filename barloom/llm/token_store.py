@@ -144,6 +144,7 @@ def _shards(folder: str, tokenizer: str, end_id: int):
                     yield b"".join(blobs)
 
         _write(folder, f"shard-{shard}.ids", payload())
+        encoder.forget()
         yield from places
 
     return run
