@@ -104,15 +104,21 @@ class Model:
         counts[which, rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
         return cls(langs, counts)
 
+    @staticmethod
+    def _stays(scores: np.ndarray, best: int, penalty: float) -> bool:
+        """Whether no path beats staying with the best language, by a bound: all others count as one, and switch freely.
+
+        Then a run of other words costs two switches, or one at either end, and the whole text none.
+        """
+        gain = np.cumsum(np.delete(scores, best, axis=1).max(axis=1) - scores[:, best])
+        before = np.concatenate([[0.0], gain[:-1]])
+        return gain[-1] <= 0 and gain.max() <= penalty and gain[-1] - before.min() <= penalty and (gain - np.minimum.accumulate(before)).max() <= 2 * penalty
+
     def label(self, scores: np.ndarray, penalty: float) -> np.ndarray:
         """The language of each word on the best path; ties go to the language first in order."""
         n, k = scores.shape
         best = int(scores.sum(0).argmax())
-        gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-        floor = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
-        # k runs of words in other languages take k - 1 switches at least, and one run over all words gains nothing:
-        # if no run gains more than half a switch, no path beats staying
-        if (gain - floor).max() <= penalty / 2:
+        if k == 1 or self._stays(scores, best, penalty):
             return np.full(n, best)
         back = np.zeros((n, k), np.int16)
         value = scores[0].astype(np.float64)
