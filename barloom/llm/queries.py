@@ -13,12 +13,13 @@ from .jaccard_join import similar_groups
 from .language_id import Model, held_out, identify
 from .lm_score import score
 from .mixing import mix
-from .shared import shared_dir
+from .shared import bound_batches, shared_dir
 from .substring_dedup import remove_repeats
 from .token_store import TokenStore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

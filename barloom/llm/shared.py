@@ -28,3 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: set it to the input's size over 64 to 128 MB."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Arrow batches of this session hold at most so many bytes: Spark's 64 MB a task are much beside Python workers.
+
+    Results do not depend on it.  The operators themselves leave the session as it is; queries and the pipeline call this.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -14,7 +14,7 @@ from barloom.llm.jaccard_join import similar_groups
 from barloom.llm.language_id import Model, held_out, identify
 from barloom.llm.mixing import mix
 from barloom.llm.queries import quality_weights
-from barloom.llm.shared import shared_dir
+from barloom.llm.shared import bound_batches, shared_dir
 from barloom.llm.token_store import TokenStore
 
 #: A document whose share of its main language falls below this is rejected
@@ -28,6 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from the documents that carry a language.  Labels are joined back by doc_id; rows
     that repeat a doc_id stay if any of them passes.
     """
+    bound_batches(spark)
     model = Model.train(docs.where(~held_out(F.col("doc_id"), 5, 0)))
     good = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(good, docs.doc_id.eqNullSafe(good._id), "left_semi").select(*docs.columns)
@@ -35,6 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) keep the smallest doc_id."""
+    bound_batches(spark)
     keep = similar_groups(docs, width=5, similarity=0.8).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(keep, docs.doc_id.eqNullSafe(keep._id), "left_semi").select(*docs.columns)
     return kept.dropDuplicates(["doc_id", "text"])
@@ -42,6 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    bound_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
@@ -60,6 +63,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the mix as a token store, and return what each of its rows holds, read back through the index."""
     import public_tokenizers
 
+    bound_batches(spark)
     store = TokenStore.write(docs, shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return store.fetch(docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
