@@ -128,8 +128,9 @@ def calibrated_confidence(spark, sf):
 def strategy_decay(spark, sf):
     """O7 on each priority's trades."""
     rows = []
-    for name in ("1-URGENT", "2-HIGH"):
-        got = portfolio.decay(_trades(spark, sf).where(F.col("run_id") == name).where("seq % 40 = 0"), {"win_rate": 0.55, "expectancy_r": 0.2, "equity": 1e7, "mc_p5_drawdown": -0.3})
+    trades = _trades(spark, sf)
+    for name in sorted(r.run_id for r in trades.select("run_id").distinct().collect()):
+        got = portfolio.decay(trades.where(F.col("run_id") == name), {"win_rate": 0.55, "expectancy_r": 0.2, "equity": 1e7, "mc_p5_drawdown": -0.3})
         rows.append((name, got["n_trades"], got["health"], got["recommendation"]))
     return tidy(spark.createDataFrame(rows, "name string, n_trades long, health double, recommendation string"))
 
@@ -227,7 +228,7 @@ def walk_forward(spark, sf):
     """Grid, shortlist, validation and test of all folds in three waves."""
     bars = src.order_bars(spark, sf)
     n = bars.select("ts").distinct().count()
-    plan = rs.fold_dates(bars, rs.folds(n, 504, 126, 126, step=504))
+    plan = rs.fold_dates(bars, rs.folds(n, 504, 126, 126))
     got = rs.Bench(bars, _SETUP).walk_forward(_CROSS, {"n": [5, 20, 50]}, plan)
     rows = [(r["fold"], r["status"], str(r.get("params")), (r.get("test") or {}).get("total_return")) for r in got["folds"]]
     return tidy(spark.createDataFrame(rows, "fold int, status string, params string, test_return double"))
@@ -247,7 +248,7 @@ def monte_carlo_shuffle(spark, sf):
 
 
 def monte_carlo_bootstrap(spark, sf):
-    trades = _trades(spark, sf).where("seq % 20 = 0").withColumn("pnl", F.col("pnl") / 1e4)
+    trades = _trades(spark, sf).withColumn("pnl", F.col("pnl") / 1e4)
     return tidy(rs.monte_carlo(trades, 10_000.0, sims=2000))
 
 
@@ -282,7 +283,7 @@ def stream_session_windows(spark, sf):
 def paper_fills(spark, sf):
     """Orders and bars replayed through the paper broker, one account per event type."""
     bars = src.event_bars(spark, sf).withColumns({"account": F.col("symbol"), "at": F.col("ts"), "seq": F.lit(1).cast("long"), "kind": F.lit("bar")})
-    e = table(spark, sf, "events").where("event_id % 50 = 0")
+    e = table(spark, sf, "events")
     kind = F.element_at(F.array(F.lit("MARKET"), F.lit("LIMIT"), F.lit("STOP")), (F.col("event_id") % 3 + 1).cast("int"))
     orders = e.select(F.col("event_type").alias("account"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.lit("order").alias("kind"), F.col("event_type").alias("symbol"), F.col("event_id").cast("string").alias("order_id"), F.when(F.col("event_id") % 4 == 0, "SELL").otherwise("BUY").alias("side"), kind.alias("order_type"), F.lit(1.0).alias("qty"), F.col("value").alias("limit_price"), F.col("value").alias("stop_price"))
     rows = orders.unionByName(bars.select("account", "at", "seq", "kind", "symbol", "open", "high", "low", "close", "volume"), allowMissingColumns=True)
