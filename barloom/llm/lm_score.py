@@ -2,7 +2,8 @@
 
 Tokens are lower-cased words and one end per text.  The model predicts a *slot*: the end, one of the
 most frequent words, or a class of all other words by their last letters; a rarer word then has its share of its
-class, from smoothed counts.  Slots are few, so a batch of contexts times all slot vectors is one
+class, from smoothed counts.  There are as many frequent words as the root of
+all distinct ones (63 at least), so a batch of contexts times all slot vectors is one
 matrix product and the softmax is exact: token probabilities are normalised.
 
 The context vector is the sum of the previous slots' vectors, each scaled by a vector for its distance
@@ -15,6 +16,7 @@ for the counts of its distinct words, as substring_dedup does for windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,19 +56,19 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Slots:
-    """The frequent words and what the other classes hold: fixed size, whatever the corpus."""
+    """The frequent words and what the other classes hold: the end, `head` words or places for them, and the classes."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n_class: np.ndarray, v_class: np.ndarray, tokens: int, distinct: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.class_total = n_class + v_class + 1  # one more for all words never seen
         self.tokens, self.distinct = tokens, distinct
-        share = np.concatenate([[max(1, tokens - counts.sum() - n_class.sum())], self.counts, n_class]).astype(np.float64)
-        share = np.pad(share, (0, _SLOTS - len(share)))[:_SLOTS] if len(share) < _SLOTS else share
+        self.head = max(_HEAD, len(self.words))
+        share = np.concatenate([[max(1, tokens - counts.sum() - n_class.sum())], np.pad(self.counts, (0, self.head - len(self.counts))), n_class]).astype(np.float64)
         self.noise = ((share + 1) / (share + 1).sum()).astype(np.float64)
 
     def of(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        out = 1 + _HEAD + classes.astype(np.int64)
+        out = 1 + self.head + classes.astype(np.int64)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             out = np.where(self.words[at] == hashes, 1 + at, out)
@@ -87,21 +89,24 @@ def _contexts(slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class LogBilinear:
     """Slot vectors, distance vectors, target vectors and biases, as one flat float32 array."""
 
+    #: With the least number of slots
     SIZE = _SLOTS * _WIDTH * 2 + _CONTEXT * _WIDTH + _SLOTS
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.astype(np.float32).copy()
-        a, b = _SLOTS * _WIDTH, _CONTEXT * _WIDTH
-        self.slot = self.flat[:a].reshape(_SLOTS, _WIDTH)
+        b = _CONTEXT * _WIDTH
+        self.slots = (len(self.flat) - b) // (2 * _WIDTH + 1)
+        a = self.slots * _WIDTH
+        self.slot = self.flat[:a].reshape(self.slots, _WIDTH)
         self.scale = self.flat[a : a + b].reshape(_CONTEXT, _WIDTH)
-        self.target = self.flat[a + b : 2 * a + b].reshape(_SLOTS, _WIDTH)
+        self.target = self.flat[a + b : 2 * a + b].reshape(self.slots, _WIDTH)
         self.bias = self.flat[2 * a + b :]
-        self.steps, self.mean, self.square = 0, np.zeros(self.SIZE), np.zeros(self.SIZE)
+        self.steps, self.mean, self.square = 0, np.zeros(len(self.flat)), np.zeros(len(self.flat))
 
     @classmethod
     def fresh(cls, noise: np.ndarray) -> LogBilinear:
         rng = np.random.default_rng(7)
-        model = cls(rng.normal(0, 0.1, cls.SIZE))
+        model = cls(rng.normal(0, 0.1, len(noise) * _WIDTH * 2 + _CONTEXT * _WIDTH + len(noise)))
         model.scale[:] = 1.0 / np.arange(1, _CONTEXT + 1)[:, None] ** 0.5
         model.bias[:] = np.log(noise)
         return model
@@ -111,7 +116,7 @@ class LogBilinear:
 
     def step(self, contexts: np.ndarray, targets: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One noise-contrastive step; the batch shares its noise slots."""
-        drawn = rng.choice(_SLOTS, _NOISE, p=noise)
+        drawn = rng.choice(self.slots, _NOISE, p=noise)
         log_noise = np.log(noise * _NOISE).astype(np.float32)
         h = self.hidden(contexts)
         own = np.einsum("ij,ij->i", h, self.target[targets]) + self.bias[targets] - log_noise[targets]
@@ -120,10 +125,10 @@ class LogBilinear:
         down = -1 / (1 + np.exp(-others))  # noise counted as data
         to_h = up[:, None] * self.target[targets] + down @ self.target[drawn]
         n, dims = len(targets), np.arange(_WIDTH)
-        spread = lambda at, x: np.bincount((at[:, None] * _WIDTH + dims).ravel(), weights=x.ravel(), minlength=_SLOTS * _WIDTH).reshape(_SLOTS, _WIDTH)
+        spread = lambda at, x: np.bincount((at[:, None] * _WIDTH + dims).ravel(), weights=x.ravel(), minlength=self.slots * _WIDTH).reshape(self.slots, _WIDTH)
         to_target = spread(targets, up[:, None] * h) + spread(drawn, down.T @ h)
-        to_bias = np.bincount(targets, weights=up, minlength=_SLOTS) + np.bincount(drawn, weights=down.sum(0), minlength=_SLOTS)
-        to_slot = np.zeros((_SLOTS, _WIDTH))
+        to_bias = np.bincount(targets, weights=up, minlength=self.slots) + np.bincount(drawn, weights=down.sum(0), minlength=self.slots)
+        to_slot = np.zeros((self.slots, _WIDTH))
         to_scale = np.zeros_like(self.scale)
         for k in range(_CONTEXT):
             to_slot += spread(contexts[:, k], to_h * self.scale[k])
@@ -179,12 +184,22 @@ def _merge(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, n
     return sent, words, np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64), kinds[first]
 
 
-def _statistics(table: pa.Table) -> pa.Table:
+def _statistics(parts: int):
     """A range's sums by class, and its most frequent words: (kind, word, count, distinct)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _range_statistics(table, parts)
+
+    return run
+
+
+def _range_statistics(table: pa.Table, parts: int) -> pa.Table:
     _, words, counts, kinds = _merge(table)
     n, v = np.bincount(kinds, weights=counts, minlength=_CLASSES), np.bincount(kinds[counts > 0], minlength=_CLASSES)
     open_ = (words != _END_HASH) & (counts > 0)
-    top = np.flatnonzero(open_)[np.lexsort((words[open_], -counts[open_]))[:_HEAD]]
+    # the head's words fall into hash ranges at random: a range's share of them, and eight standard deviations more
+    mine = math.isqrt(2 * parts * len(words)) // parts + 1
+    top = np.flatnonzero(open_)[np.lexsort((words[open_], -counts[open_]))[: _HEAD + mine + 8 * math.isqrt(mine)]]
     ends = np.flatnonzero(words == _END_HASH)
     at = np.concatenate([top, ends])
     return pa.table({
@@ -239,8 +254,8 @@ def _score(parts: int, slots: Slots, flat: np.ndarray):
         base = np.log10((c + 1) / (slots.tokens + slots.distinct + 1))
         own = slots.of(hashes, classes)
         score = model.log_probs(_contexts(own, bounds), own) / np.log(10)
-        rare = own > _HEAD
-        score[rare] += np.log10((c[rare] + 1) / slots.class_total[own[rare] - 1 - _HEAD])
+        rare = own > slots.head
+        score[rare] += np.log10((c[rare] + 1) / slots.class_total[own[rare] - 1 - slots.head])
         rows = len(bounds) - 1
         add = lambda x: np.add.reduceat(x, bounds[:-1]) if rows else np.zeros(0)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(rows, slots.tokens), pa.int64()), "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(score), pa.float64())})
@@ -248,30 +263,30 @@ def _score(parts: int, slots: Slots, flat: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, rounds: int = 3, share: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, rounds: int = 3, share: float = 1.0) -> DataFrame:
     """Score every text of docs (doc_id, text), learning from the rows that are not held out.
 
     One row per row: doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens,
     base_score (add-one unigram) and score (log-bilinear), both log10 of the whole text's probability.
     A null or empty text is the end alone.  Repeated rows get equal scores; without training rows the
-    model is uniform over smoothed counts.  Each round learns from its own part of the training documents, `share` of the tokens of
-    each, drawn at random.  Other columns are ignored.
+    model is uniform over smoothed counts.  Each round learns from all training documents, from `share` of the tokens of each slice,
+    drawn at random: all by default.  Other columns are ignored.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n))).repartition(n, "grp")
     asked = dealt.groupBy("grp").applyInArrow(_ask(n), "part int, grp long, words binary, counts binary, kinds binary")
-    stats = asked.groupBy("part").applyInArrow(_statistics, "what string, kind int, word long, n long, v long")
+    stats = asked.groupBy("part").applyInArrow(_statistics(n), "what string, kind int, word long, n long, v long")
     sums = stats.groupBy("what", "kind", "word").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).persist()
-    top = sums.where("what = 'word'").orderBy(F.desc("n"), "word").limit(_HEAD).collect()
     n_class, v_class, ends = np.zeros(_CLASSES, np.int64), np.zeros(_CLASSES, np.int64), 0
     for r in sums.where("what <> 'word'").collect():  # one row a class, and the end
         if r.what == "class":
             n_class[r.kind], v_class[r.kind] = r.n, r.v
         else:
             ends = r.n
-    sums.unpersist()
     tokens, distinct = int(n_class.sum()), int(v_class.sum())
+    top = sums.where("what = 'word'").orderBy(F.desc("n"), "word").limit(max(_HEAD, math.isqrt(distinct))).collect()
+    sums.unpersist()
     for r in top:
         n_class[r.kind] -= r.n
         v_class[r.kind] -= 1
@@ -279,10 +294,10 @@ def score(docs: DataFrame, held_out: Column, rounds: int = 3, share: float = 0.7
     v_class[0] -= ends > 0
     slots = Slots(np.array([r.word for r in top], np.int64).view(U64), np.array([r.n for r in top], np.int64), n_class, v_class, tokens, distinct)
     flat = LogBilinear.fresh(slots.noise).flat
+    training = rows.where("not held_out")
     for turn in range(rounds):
-        part = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
-        learned = part.select("text").mapInArrow(_train(flat, slots, share, turn), "at int, total double, seen long")
-        mean = learned.groupBy("at").agg((F.sum("total") / F.sum("seen")).alias("x")).toArrow().sort_by("at")  # a few thousand numbers
+        learned = training.select("text").mapInArrow(_train(flat, slots, share, turn), "at int, total double, seen long")
+        mean = learned.groupBy("at").agg((F.sum("total") / F.sum("seen")).alias("x")).toArrow().sort_by("at")  # 33 numbers a slot
         if mean.num_rows:
             flat = mean.column("x").to_numpy().astype(np.float32)
     answers = asked.groupBy("part").applyInArrow(_answer, "part int, grp long, counts binary")
