@@ -1,13 +1,15 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import lm_score
 from barloom.llm.decontaminate import clean, leaks
 from barloom.llm.encoder import Encoder
 from barloom.llm.language_id import Model, held_out, identify
-from barloom.llm.lm_score import LogBilinear, Slots, score
+from barloom.llm.lm_score import LogBilinear, Tokens, Vocabulary, _before, score
 from barloom.llm.token_store import PerfectHash, TokenStore
 
 from . import brute
@@ -192,13 +194,58 @@ def test_model_beats_the_unigram_on_held_out_text(spark, sf):
     assert s.b < s.m < 0
 
 
+def words_and_model(texts, head, seed=0):
+    """A vocabulary of `head` words counted on the texts, random parameters, and the texts' tokens."""
+    tokens = Tokens(pa.array(texts))
+    words, first, place = np.unique(tokens.hashes, return_index=True, return_inverse=True)
+    counts, kinds = np.bincount(place), tokens.classes(first)
+    end = kinds == lm_score._CLASSES
+    top = np.argsort(-np.where(end, 0, counts), kind="stable")[:head]
+    by_class = lambda x: np.bincount(kinds[~end], weights=x[~end], minlength=lm_score._CLASSES).astype(np.int64)
+    vocabulary = Vocabulary(words[top], kinds[top], counts[top], by_class(counts), by_class(np.ones(len(words))), int(counts[end].sum()))
+    fresh = LogBilinear.fresh(vocabulary)
+    flat = np.random.default_rng(seed).normal(0, 0.5, len(fresh.flat))
+    return tokens, vocabulary, LogBilinear(flat, vocabulary.contexts, len(vocabulary.word_noise)), counts[place]
+
+
 def test_probabilities_are_normalised():
-    rng = np.random.default_rng(0)
-    model = LogBilinear(rng.normal(0, 0.5, LogBilinear.SIZE))
-    context = np.repeat(rng.integers(0, 128, (1, 4)), 128, axis=0)
-    assert abs(np.exp(model.log_probs(context, np.arange(128))).sum() - 1) < 1e-5
-    slots = Slots(np.array([5, 3], np.uint64), np.array([9, 4]), np.zeros(64, np.int64), np.zeros(64, np.int64), 20, 4)
-    assert abs(slots.noise.sum() - 1) < 1e-12 and len(slots.noise) == 128
+    texts = ["the cat sat on the mat. The dog, too", "", None, "one two three two one"]
+    tokens, vocabulary, model, _ = words_and_model(texts, 4)
+    words = len(vocabulary.word_noise)
+    before = np.repeat(np.random.default_rng(1).integers(0, vocabulary.contexts, (4, 1)), words, axis=1)
+    assert abs(np.exp(model.log_probs(before, np.arange(words), vocabulary.word_class, vocabulary)).sum() - 1) < 1e-5
+    for noise in (vocabulary.word_noise, vocabulary.class_noise):
+        assert abs(noise.sum() - 1) < 1e-12
+    # shares of a class's rest: its training words, and one more for all others
+    rest = [h for h in np.unique(tokens.hashes) if h not in set(vocabulary.sorted)]
+    assert vocabulary.rest_total.sum() == (np.isin(tokens.hashes, rest) & (tokens.ends > 0)).sum() + len(rest) - 1 + lm_score._CLASSES + 1
+
+
+def test_scores_are_a_plain_forward_pass():
+    """Token by token, from the formulas alone."""
+    texts = ["the cat sat on the mat. The dog, too", "", None, "one two three two one the", "x"]
+    tokens, vocabulary, model, _ = words_and_model(texts, 5)
+    word, kind, context = vocabulary.numbers(tokens)
+    got = model.log_probs(_before(context, tokens.bounds, vocabulary.contexts - 1), word, kind, vocabulary)
+    at = 0
+    for row in range(len(texts)):
+        seen = [vocabulary.contexts - 1] * 4
+        for t in range(tokens.bounds[row], tokens.bounds[row + 1]):
+            h = sum(model.context[:, c].astype(float) * model.scale[k] for k, c in enumerate(reversed(seen[-4:])))
+            of_class, of_word = np.exp(h @ model.kind + model.kind_bias), np.exp(h @ model.word + model.word_bias)
+            members = [w for w in range(len(of_word)) if vocabulary.word_class[w] == kind[t]]
+            want = np.log(of_class[kind[t]] / of_class.sum()) + np.log(of_word[word[t]] / of_word[members].sum())
+            assert abs(got[t] - want) < 1e-4
+            seen.append(context[t])
+            at += 1
+    assert at == len(word)
+
+
+def test_classes_look_at_the_word_alone():
+    tokens = Tokens(pa.array(["abcing", "ing", "ING.", "ng", "x", "g"]))
+    kinds = tokens.classes(np.arange(len(tokens.hashes)))
+    assert kinds[0] == kinds[2] == kinds[4] and all(kinds[k] == lm_score._CLASSES for k in (1, 3, 5, 7, 9, 11))
+    assert (Tokens(pa.array(["g"])).classes(np.array([0])) == kinds[10]).all()
 
 
 def test_scores_of_nothing(none, odd):
