@@ -31,11 +31,11 @@ from .words import U64, hash_spans, mix, slices, text_bytes, word_bounds
 
 #: Head words, as a multiple of the root of all distinct words, and at least
 HEAD, _LEAST_HEAD = 2, 63
-_CLASSES, _CONTEXT, _WIDTH = 128, 4, 16
+_CLASSES, _CONTEXT, _WIDTH = 64, 4, 16
 _END_HASH = U64(0x0123456789ABCDEF)
-_NOISE = {"word": 128, "kind": 48}
+_NOISE = {"word": 128, "kind": 32}
 #: Tokens of a training step, and of a scoring step
-_STEP, _BATCH = 4096, 65536
+_STEP, _BATCH = 8192, 32768
 #: Numbers of a parameter vector that travel as one row
 _BLOCK = 4096
 RATE = 0.02
@@ -72,7 +72,7 @@ class Tokens:
         tail = np.zeros(len(of), U64)
         for k in range(3):
             tail = tail << U64(8) | np.where(last - k >= start, _FOLD[self.raw[np.maximum(last - k, 0)]], 0).astype(U64)
-        return np.where(last < 0, _CLASSES, (mix(tail) >> U64(57)).astype(np.int64))
+        return np.where(last < 0, _CLASSES, (mix(tail) >> U64(58)).astype(np.int64))
 
 
 class Vocabulary:
@@ -164,14 +164,15 @@ class LogBilinear:
             up = _sigmoid(-np.einsum("ij,ij->j", h, own) - offset[target])  # data counted as noise
             down = some.T @ h
             down += offset[drawn][:, None]
-            down = _sigmoid(down)  # noise counted as data
+            _sigmoid(down)  # noise counted as data
             own *= up
             to_h += own
             to_h -= some @ down
             items = len(noise)
             own_grad = np.stack([np.bincount(target, weights=x, minlength=items) for x in up * h])
             np.subtract.at(own_grad.T, drawn, down @ h.T)
-            own_bias = np.bincount(target, weights=up, minlength=items) - np.bincount(drawn, weights=down.sum(1), minlength=items)
+            own_bias = np.bincount(target, weights=up, minlength=items)
+            np.subtract.at(own_bias, drawn, down.sum(1))
             grads[name], grads[f"{name}_bias"] = own_grad, own_bias
         to_context, to_scale = np.zeros(self.context.shape), np.zeros_like(self.scale)
         for k, x in enumerate(taken):
@@ -345,7 +346,7 @@ def _score(parts: int, known):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, rounds: int = 1) -> DataFrame:
     """Score every text of docs (doc_id, text), learning from the rows that are not held out.
 
     One row per row: doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens,
