@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import join_groups
 from .shared import cut
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool, total: int) -> DataFrame:
     """Hang each node's larger (or not larger) neighbours on the smallest node around."""
-    if larger:
-        sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        hung = sym.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        hung = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
+    least = cut(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("k")))
+    hung = join_groups(sides.where("b > a") if larger else edges, least, ["a"], "k", total, F.col("b"), F.lit(32)).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not larger:
+        hung = hung.unionByName(least.select("a", F.col("m").alias("b")))
     return hung.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -24,12 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 
     Self-loops and repeated edges do no harm; nodes without an edge are not listed.  All state stays
-    in Spark; the loop ends when a round leaves the edges as they are, after about log2(n) rounds.
+    in Spark; the loop ends when a round leaves the edges as they are, after about log2(n) rounds.  A node
+    with a third of all edges fills no task.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        total = edges.count()
+        edges = cut(_star(cut(_star(edges, True, total)), False, total))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

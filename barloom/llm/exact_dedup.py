@@ -5,9 +5,8 @@ bytes eight times as long at each level.  A group that is a singleton, or whose
 read, leaves; only the rest goes to the next level, and carries only its unread bytes.  Groups are
 told apart by the bytes themselves, never by a digest.
 
-A level is an aggregation by (group, digit), combined before its shuffle, and a join back.  A group
-with over 1/128 of a level's rows would land in one task of that join; at most 128 such groups can
-exist and their digits are short, so their few rows are broadcast and all others joined by shuffle.
+A level is an aggregation by (group, digit), combined before its shuffle, and a join back that splits
+groups too large for a task (see hot).
 """
 
 from __future__ import annotations
@@ -17,23 +16,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import join_groups
 from .shared import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HOT_SHARE = 128
-#: A hot group's digit must be at most this long to be broadcast: 128 digits of 64 KB are 8 MB at most.
-_HOT_BYTES = 1 << 16
 
 
 def _level(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
     """rows with n, keep_id and next_grp of their group by keys."""
     groups = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")).withColumn("next_grp", F.monotonically_increasing_id()))
-    hot = (F.col("n") * _HOT_SHARE > total) & (F.octet_length(keys[-1]) <= _HOT_BYTES)
-    few = groups.where(hot)
-    rest = groups.where(~hot)
-    known = rows.join(F.broadcast(few), keys, "left")
-    plain = known.where(F.col("n").isNull()).drop("n", "keep_id", "next_grp").join(rest, keys)
-    return known.where(F.col("n").isNotNull()).unionByName(plain)
+    return join_groups(rows, groups, keys, "n", total, F.col("doc_id"), F.octet_length(keys[-1]) + 32)
 
 
 def exact_groups(docs: DataFrame, first: int = 64, factor: int = 8) -> DataFrame:
@@ -42,7 +34,7 @@ def exact_groups(docs: DataFrame, first: int = 64, factor: int = 8) -> DataFrame
     One row per row of docs (doc_id, text): doc_id, keep_id (largest doc_id of the group),
     group_size, kept, text_sha256.  A null text counts as empty, and all empty texts are equal.  If
     rows of a group repeat the largest doc_id, each of them is kept = true.  A null doc_id is smaller than any
-    other.  Other columns are ignored.
+    other.  Texts of any length are read whole, and an empty table gives no rows.  Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     folded = F.when(text.rlike("[A-Z]"), F.translate(text, _UPPER, _LOWER)).otherwise(text)

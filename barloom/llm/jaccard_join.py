@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .hot import join_groups
 from .shared import cut, partitions
 from .words import U64, mix, shingle_sets, slices
 
@@ -218,9 +219,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     links reach, itself included), n_links (rows linked directly).  A-Z is lowered; a text with
     fewer words than `width` is one shingle; a null text or one without words has an empty set and
     links with nothing.  Rows with equal sets link.  Rows that repeat a doc_id are told apart; a null
-    doc_id counts as larger than any other, and is the component_id only of a group that has no other.  Other columns are ignored.
+    doc_id counts as larger than any other, and is the component_id only of a group that has no other.  Whole texts are
+    read, of any length; an empty table gives no rows.  Other columns are ignored.
     """
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     texts = docs.select("doc_id", "text")
     rows = cut(texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, sig long"))
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -254,10 +256,6 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
 
 def _by_sig(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Each row with its set's verdict; sets with over 1/128 of the rows, at most 128 of them, are broadcast."""
-    total = rows.count()
-    hot = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 128 > total).select("sig")
-    few = cut(verdict.join(hot, "sig"))
-    known = rows.join(F.broadcast(few), "sig", "left")
-    rest = known.where(F.col("n_links").isNull()).drop("component_id", "n_links").join(verdict, "sig")
-    return known.where(F.col("n_links").isNotNull()).unionByName(rest).select("doc_id", "n_shingles", "component_id", "n_links")
+    """Each row with its set's verdict."""
+    sized = cut(verdict.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_rows")), "sig"))
+    return join_groups(rows, sized, ["sig"], "_rows", rows.count(), F.col("doc_id"), F.lit(48)).select("doc_id", "n_shingles", "component_id", "n_links")
