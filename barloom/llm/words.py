@@ -112,6 +112,23 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     return mix(_window_hash(hashes, starts, starts + width, _ROLL)), starts
 
 
+def checks(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """32 further bits of each window's hash, from another polynomial: with windows(), 96 bits tell windows apart."""
+    return (mix(_window_hash(mix(hashes ^ _GRAM), starts, starts + width, _BASE)) >> U64(32)).astype(np.uint32)
+
+
+def sort_pairs(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (hash, check) pairs stand together, and whether a pair differs from the one before it."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], check[order]
+    same = h[1:] == h[:-1]
+    if (same & (c[1:] != c[:-1])).any():  # hashes that collide: put their checks in order too
+        order = np.lexsort((check, hashes))
+        h, c = hashes[order], check[order]
+        same = h[1:] == h[:-1]
+    return order, np.concatenate([[True], ~same | (c[1:] != c[:-1])])[: len(hashes)]
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes per row, A-Z lowered; a row with 1 to width-1 words has one shingle."""
     hashes, bounds = hash_words(column, lower=True)
