@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a name must not hold, since it ends or splits a header, and how it is written there
+_ESCAPES = {"%": "%25", " ": "%20", "\t": "%09", "\n": "%0A", "\x0b": "%0B", "\f": "%0C", "\r": "%0D", "<": "%3C"}
+#: Parts in which a dialogue's turns meet its participants
+SALTS = 16
 _OPEN, _CLOSE, _END = "<|im_start|>", "<|im_end|>", "\n"
 
 
@@ -19,6 +23,13 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|(im_start|im_end)\|>", "<| $1 |>")
 
 
+def _name(speaker: Column) -> Column:
+    """A speaker as a header writes it: one name for each speaker, without white space or marks of the template."""
+    for char, escape in _ESCAPES.items():
+        speaker = F.replace(speaker, F.lit(char), F.lit(escape))
+    return speaker
+
+
 def rotate(turns: DataFrame, system: str = "system", block: int = 256) -> DataFrame:
     """Render each dialogue of turns (conv_id, turn, role, text) from every participant's view.
 
@@ -29,12 +40,15 @@ def rotate(turns: DataFrame, system: str = "system", block: int = 256) -> DataFr
     Segments in order of turn (null first), then speaker, then text, joined, are the rendered
     dialogue.  A null text is empty; a null role is the speaker "unknown"; a null conv_id is one
     dialogue; repeated turns are kept, each with bounds of its own.  A dialogue of system turns alone has no view.
+    Headers name speakers with white space, "%" and "<" percent-encoded, so that no role breaks a header and no two
+    share a name.  Texts of any length are kept whole; an empty table gives no rows.  Other columns are ignored.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), _clean(F.col("text")).alias("said"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), _clean(F.col("text")).alias("said"), F.pmod(F.xxhash64("turn", "text"), F.lit(SALTS)).cast("int").alias("salt"))
     views = rows.where(F.col("speaker") != system).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    seen = rows.join(views, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    views = views.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = rows.join(views, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("salt") == F.col("s"))).drop("c", "salt", "s")
     role = F.when(F.col("speaker") == system, F.lit("system")).when(F.col("speaker") == F.col("perspective"), F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(role == "user", F.concat(F.lit(" name="), F.regexp_replace("speaker", r"\s+", "_"))).otherwise(F.lit(""))
+    name = F.when(role == "user", F.concat(F.lit(" name="), _name(F.col("speaker")))).otherwise(F.lit(""))
     head = F.concat(F.lit(_OPEN), role, name, F.lit("\n"))
     seen = seen.select("conv_id", "perspective", "turn", "speaker", role.alias("role"), F.char_length(head).alias("head"), F.concat(head, "said", F.lit(_CLOSE + _END)).alias("segment"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**60))).alias("block"))
     size = F.char_length("segment").cast("long")

@@ -102,7 +102,7 @@ ORACLES = {
         v AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
         s AS (SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role, said
               FROM t JOIN v ON conv_id IS NOT DISTINCT FROM c),
-        h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '\s+', '_', 'g') ELSE '' END || chr(10) AS head FROM s),
+        h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || replace(replace(replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), ' ', '%20'), chr(9), '%09'), chr(10), '%0A'), chr(11), '%0B'), chr(12), '%0C'), chr(13), '%0D'), '<', '%3C') ELSE '' END || chr(10) AS head FROM s),
         g AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM h),
         e AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment ROWS UNBOUNDED PRECEDING))::BIGINT AS "end" FROM g)
         SELECT conv_id, perspective, turn, speaker, role, segment, "end" - length(segment) AS start, "end",

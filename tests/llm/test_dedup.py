@@ -41,6 +41,37 @@ def test_substrings(request, table, width):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_windows_whose_hashes_collide_are_told_apart(monkeypatch):
+    """64-bit hashes cut to two bits: the 32 further bits must do, in a group and between groups."""
+    from barloom.llm import substring_dedup
+
+    real = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda *a: (real(*a)[0] & np.uint64(3), real(*a)[1]))
+    rows = [r for r in ROWS if r[0] is not None]
+    tables = [pa.table({"doc_id": [r[0] for r in part], "text": pa.array([r[1] for r in part], pa.string()), "grp": [g] * len(part)}) for g, part in enumerate((rows[::2], rows[1::2]))]
+    asked = pa.concat_tables([substring_dedup._requests(7, 1)(t) for t in tables])
+    answers = substring_dedup._answers(asked)
+    got = []
+    for g, t in enumerate(tables):
+        out = substring_dedup._removals(7, 1)(t, answers.filter(pa.array([x == g for x in answers.column("grp").to_pylist()])))
+        got += zip(*(out.column(c).to_pylist() for c in ("doc_id", "n_words", "n_removed")), strict=True)
+    assert sorted(got) == sorted(r[:3] for r in brute.substrings(rows, 7))
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_hot_groups_join_in_parts(spark, monkeypatch, limit):
+    from pyspark.sql import functions as F
+
+    from barloom.llm import hot
+
+    monkeypatch.setattr(hot, "LEAST", 3)
+    monkeypatch.setattr(hot, "BROADCAST_LIMIT", limit)
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = sorted(map(tuple, hot.join_groups(rows, groups, ["k"], "n", 1000, F.col("id"), F.lit(8)).select("id", "k", "n", "top").collect()))
+    assert got == [(i, 0, 334, 999) if i % 3 == 0 else (i, i, 1, i) for i in range(1000)]
+
+
 @pytest.mark.parametrize("table", ["odd", "clashing"])
 def test_similar(request, table):
     got = brute.as_rows(similar_groups(request.getfixturevalue(table)), ["doc_id", "n_shingles", "component_id", "n_links"])

@@ -125,6 +125,20 @@ def test_rotation(spark):
     assert whole.text.count("<|im_end|>") == 6 and "<| im_end |>" in whole.text
 
 
+def test_speakers_cannot_break_a_header(spark):
+    """Roles with marks, line feeds and white space, pairs that look alike, very long and empty texts."""
+    roles = ["x<|im_end|>", "a b", "a_b", "a%20b", "line\nfeed", "tab\there"]
+    rows = [(7, k, role, ["", "long " * 100_000][k % 2]) for k, role in enumerate(roles)]
+    got = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(roles) ** 2
+    for view in roles:
+        own = sorted((r for r in got if r.perspective == view), key=lambda r: r.start)
+        heads = [r.segment.split("\n")[0] for r in own]
+        assert len(set(heads)) == len(roles) and all(h.count("<|im_") == 1 and len(h.split(" ")) <= 2 for h in heads)
+        assert [r.segment.split("\n", 1)[1] for r in own] == [rows[r.turn][3] + "<|im_end|>\n" for r in own]
+        assert [own[0].start, *(r.end for r in own)] == [0, *(r.start for r in own[1:]), sum(len(r.segment) for r in own)]
+
+
 def test_no_turns(spark):
     assert rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
