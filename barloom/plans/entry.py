@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.features import CATALOGUE, Spec, compute
+from ..functions.features import Feature, compute, defaults, feature
 from ..operators.align import canonical, with_availability
 from ..operators.quality import Limits, Validated, validate
 from ..operators.simulate import Setup
 from ..sources.bars import load_bars, read_csv_bars, store_bars
 from .research import Bench, evolve, pipeline
-from .strategy import Strategy, momentum_baseline, trend_baseline
+from .strategy import Strategy, momentum_baseline, trend_baseline, version
 
 
 def ingest(spark: SparkSession, root: str, store: str, symbols: list[str], calendar: DataFrame, asof: str, timeframe: str = "1d", start: str | None = None, end: str | None = None, limits: Limits = Limits()) -> Validated:
@@ -24,13 +24,13 @@ def ingest(spark: SparkSession, root: str, store: str, symbols: list[str], calen
     return checked
 
 
-def specs_of(text: str) -> list[Spec]:
+def features_of(text: str) -> list[Feature]:
     """Features from tokens like "rsi:14, sma:50": a name, and a value for its first parameter."""
     out = []
     for token in filter(None, (t.strip() for t in text.split(","))):
         name, _, value = token.partition(":")
-        first = next(iter(CATALOGUE[name].defaults), None) if name in CATALOGUE else None
-        out.append(Spec.of(name, **({first: float(value)} if value and first else {})))
+        first = next(iter(defaults(name)), None)
+        out.append(feature(name, **({first: float(value)} if value and first else {})))
     return out
 
 
@@ -39,7 +39,7 @@ def features_as_of(spark: SparkSession, store: str, symbol: str, features: str,
     bars = load_bars(spark, store, symbol, timeframe)
     if asof:
         bars = bars.where(F.col("available_at") <= F.lit(asof).cast("timestamp"))
-    return compute(bars, specs_of(features)).orderBy("ts")
+    return compute(bars, features_of(features)).orderBy("ts")
 
 
 def symbols(spark: SparkSession, store: str) -> list[str]:
@@ -56,7 +56,7 @@ def research(spark: SparkSession, store: str, strategy: Strategy, names: list[st
 def backtest(spark: SparkSession, store: str, strategy: Strategy, names: list[str], start: str | None = None, end: str | None = None, setup: Setup = Setup()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trades, equity, rejects) of one strategy over stored symbols."""
     bars = load_bars(spark, store, timeframe="1d").where(F.col("symbol").isin(names))
-    return Bench(bars, setup).wave({strategy.version: (strategy, start, end)})
+    return Bench(bars, setup).wave({version(strategy): (strategy, start, end)})
 
 
 def search(spark: SparkSession, store: str, names: list[str], train: tuple[str, str], check: tuple[str, str], features: list[str], **options) -> list[tuple[float, Strategy]]:

@@ -13,7 +13,8 @@ from ..operators import regime as regimes
 from ..operators.quality import Limits as QualityLimits
 from ..operators.quality import validate
 from ..operators.risk import Limits, evaluate
-from .strategy import Strategy, decide
+from .state import cut
+from .strategy import Strategy, bind, decide, version
 
 TRADABLE = ("PAPER", "APPROVED", "ACTIVE")
 
@@ -43,7 +44,7 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
         trend = regimes.classify(clean.where(F.col("symbol") == benchmark))
         universe = clean.where(F.col("symbol") != benchmark)
     active = [s for s in slots if s.status in TRADABLE]
-    features = compute(universe, list(dict.fromkeys(x for s in active for x in s.strategy.validate().specs())))
+    features = compute(universe, [f for s in active for f in bind(s.strategy).features])
     decided = []
     for slot in active:
         if slot.strategy.allowed_regimes is not None and trend is None:
@@ -53,7 +54,7 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
         hit = last.where("n >= 2 and (b.long_entry or b.short_entry)")
         side = F.when(F.col("b.long_entry"), 1).otherwise(-1)
         decided.append(hit.select(
-            F.lit(slot.strategy_id).alias("strategy_id"), F.lit(slot.strategy.version).alias("strategy_version"), F.lit(slot.health).alias("strategy_health"), "symbol", side.alias("direction"), F.col("b.close").alias("entry"),
+            F.lit(slot.strategy_id).alias("strategy_id"), F.lit(version(slot.strategy)).alias("strategy_version"), F.lit(slot.health).alias("strategy_health"), "symbol", side.alias("direction"), F.col("b.close").alias("entry"),
             (F.col("b.close") - side * F.col("b.stop_dist")).alias("stop"), (F.col("b.close") + side * F.col("b.tp_dist")).alias("target"), F.col("b.rank").alias("rank"), F.col("b.ts").alias("bar_ts"), F.col("b.available_at").alias("available_at"),
         ))
     found = reduce(DataFrame.unionByName, decided)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
-from ..functions.features import Spec, compute
+from ..functions.features import compute, feature
 from ..functions.staged import Staged
 from ..operators import regime, selection
 from ..plans.strategy import Condition, Stop, Strategy, TakeProfit, decide, feat, val
@@ -28,10 +28,10 @@ def _lag(x: str, n: int = 1) -> str:
 
 
 def _features(spark: SparkSession, sf: str, *names: str, **one) -> DataFrame:
-    """Default specs by name, in columns named by the feature."""
-    specs = [Spec.of(n) for n in names]
-    got = compute(src.order_bars(spark, sf), specs)
-    return tidy(got.select("symbol", "ts", *[F.col(f"`{s.key}`").alias(s.name) for s in specs]))
+    """Features by name, in columns named by the feature."""
+    wanted = [feature(n) for n in names]
+    got = compute(src.order_bars(spark, sf), wanted)
+    return tidy(got.select("symbol", "ts", *[f.column.alias(f.name) for f in wanted]))
 
 
 def _sql(columns: dict[str, str], stages: list[dict[str, str]] | None = None, bars: str = BARS) -> str:
@@ -90,9 +90,9 @@ def features_relative(spark, sf):
     """Against the bars of all priorities together, by equal ts."""
     bars = src.order_bars(spark, sf)
     bench = bars.groupBy("ts").agg(F.avg("close").alias("close"))
-    specs = [Spec.of(n) for n in ("rel_strength", "beta", "corr_bench")]
-    got = compute(bars, specs, bench)
-    return tidy(got.select("symbol", "ts", *[F.col(f"`{s.key}`").alias(s.name) for s in specs]))
+    wanted = [feature(n) for n in ("rel_strength", "beta", "corr_bench")]
+    got = compute(bars, wanted, bench)
+    return tidy(got.select("symbol", "ts", *[f.column.alias(f.name) for f in wanted]))
 
 
 def features_recurrence(spark, sf):
@@ -146,9 +146,9 @@ _EVAL = ["ret", "roc", "drawdown", "rel_volume"]
 
 
 def _labelled(spark, sf):
-    specs = [Spec.of(n) for n in _EVAL]
-    got = compute(selection.forward_return(src.order_bars(spark, sf), 1), specs)
-    return got.select("symbol", "ts", "label", *[F.round(f"`{s.key}`", 9).alias(s.name) for s in specs])
+    wanted = [feature(n) for n in _EVAL]
+    got = compute(selection.forward_return(src.order_bars(spark, sf), 1), wanted)
+    return got.select("symbol", "ts", "label", *[F.round(f.column, 9).alias(f.name) for f in wanted])
 
 
 def forward_returns(spark, sf):

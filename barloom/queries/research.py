@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.features import Spec, compute
+from ..functions.features import compute, feature
 from ..operators import lifecycle, portfolio, regime, risk, simulate
 from ..operators import metrics as m
 from ..operators.align import with_availability
 from ..plans import research as rs
 from ..plans.scan import Slot, scan
-from ..plans.strategy import Condition, Stop, Strategy, TakeProfit, decide, feat, trend_baseline, val
+from ..plans.strategy import Condition, Stop, Strategy, TakeProfit, decide, feat, trend_baseline, val, with_params
 from ..sources import bars as src
 from ..sources.calendar import weekday_calendar
 from ..streaming.bars import stream_bars, stream_sessions
@@ -75,7 +77,7 @@ def trade_report_cube(spark, sf):
 
 
 def baseline_buy_and_hold(spark, sf):
-    return tidy(simulate.buy_and_hold(src.order_bars(spark, sf), costs=simulate.Costs(pct=0.001)))
+    return tidy(simulate.buy_and_hold(src.order_bars(spark, sf), fees=simulate.Fees(pct=0.001)))
 
 
 def baseline_risk_free(spark, sf):
@@ -83,9 +85,9 @@ def baseline_risk_free(spark, sf):
 
 
 def _returns(spark, sf):
-    specs = [Spec.of("ret")]
-    got = compute(src.shipment_bars(spark, sf), specs)
-    return got.select("ts", F.col("symbol").alias("name"), F.col(f"`{specs[0].key}`").alias("ret")).where("ret is not null")
+    ret = feature("ret")
+    got = compute(src.shipment_bars(spark, sf), [ret])
+    return got.select("ts", F.col("symbol").alias("name"), ret.column.alias("ret")).where("ret is not null")
 
 
 _NAMES = ["A", "N", "R"]
@@ -121,7 +123,7 @@ def calibration_table(spark, sf):
 
 def calibrated_confidence(spark, sf):
     table_ = portfolio.calibrate(_signals(spark, sf))
-    scores = table(spark, sf, "events").where("event_id < 200").select("event_id", F.col("value").alias("score"))
+    scores = table(spark, sf, "events").select("event_id", F.col("value").alias("score"))
     return tidy(portfolio.confidence(scores, table_))
 
 
@@ -138,11 +140,12 @@ def strategy_decay(spark, sf):
 def _risk_tables(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
     k = F.col("c_custkey")
-    portfolios = c.where("c_custkey <= 200 and c_acctbal > 100").select(k.alias("portfolio_id"), F.col("c_acctbal").alias("equity"), (F.col("c_acctbal") * 0.6).alias("cash"), (F.col("c_acctbal") * (1 + (k % 5) * 0.06)).alias("peak_equity"), (F.col("c_acctbal") * (1 + (k % 7) * 0.006)).alias("day_start_equity"), (F.col("c_acctbal") * (1 + (k % 11) * 0.007)).alias("week_start_equity"), (k % 7).cast("int").alias("consecutive_losses"))
-    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size", "p_brand").where("p_partkey <= 200")
+    n = c.count()
+    portfolios = c.where("c_acctbal > 100").select(k.alias("portfolio_id"), F.col("c_acctbal").alias("equity"), (F.col("c_acctbal") * 0.6).alias("cash"), (F.col("c_acctbal") * (1 + (k % 5) * 0.06)).alias("peak_equity"), (F.col("c_acctbal") * (1 + (k % 7) * 0.006)).alias("day_start_equity"), (F.col("c_acctbal") * (1 + (k % 11) * 0.007)).alias("week_start_equity"), (k % 7).cast("int").alias("consecutive_losses"))
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size", "p_brand")
     q = F.col("p_partkey")
-    intents = p.select(q.alias("intent_id"), (q % 200 + 1).alias("portfolio_id"), F.concat(F.lit("S"), (q % 9).cast("string")).alias("symbol"), F.when(q % 4 == 0, -1).otherwise(1).alias("direction"), (F.col("p_retailprice") / 20).alias("entry"), (F.col("p_retailprice") / 20 * F.when(q % 4 == 0, 1.05).otherwise(0.95)).alias("stop"), F.col("p_brand").alias("sector"), F.when(q % 6 == 0, 0.4).otherwise(1.0).alias("strategy_health"), (F.col("p_size") / 50).alias("confidence"), F.when(q % 5 == 0, 20000.0).alias("adv"), (F.col("p_size") * 1.0).alias("spread_bps"), (q % 8 == 0).alias("shortable"), (q % 13).cast("int").alias("days_to_earnings"), (q % 29 != 0).alias("data_valid"))
-    positions = p.where("p_partkey % 3 = 0").select((q % 200 + 1).alias("portfolio_id"), F.concat(F.lit("S"), ((q + 1) % 9).cast("string")).alias("symbol"), F.lit(1).alias("direction"), F.lit(5.0).alias("qty"), (F.col("p_retailprice") / 30).alias("price"), (F.col("p_retailprice") / 32).alias("stop"), F.col("p_brand").alias("sector"))
+    intents = p.select(q.alias("intent_id"), (q % n + 1).alias("portfolio_id"), F.concat(F.lit("S"), (q % 9).cast("string")).alias("symbol"), F.when(q % 4 == 0, -1).otherwise(1).alias("direction"), (F.col("p_retailprice") / 20).alias("entry"), (F.col("p_retailprice") / 20 * F.when(q % 4 == 0, 1.05).otherwise(0.95)).alias("stop"), F.col("p_brand").alias("sector"), F.when(q % 6 == 0, 0.4).otherwise(1.0).alias("strategy_health"), (F.col("p_size") / 50).alias("confidence"), F.when(q % 5 == 0, 20000.0).alias("adv"), (F.col("p_size") * 1.0).alias("spread_bps"), (q % 8 == 0).alias("shortable"), (q % 13).cast("int").alias("days_to_earnings"), (q % 29 != 0).alias("data_valid"))
+    positions = p.select((q * 3 % n + 1).alias("portfolio_id"), F.concat(F.lit("S"), ((q + 1) % 9).cast("string")).alias("symbol"), F.lit(1).alias("direction"), F.lit(5.0).alias("qty"), (F.col("p_retailprice") / 30).alias("price"), (F.col("p_retailprice") / 32).alias("stop"), F.col("p_brand").alias("sector"))
     return intents, portfolios, positions
 
 
@@ -169,7 +172,7 @@ def lifecycle_requests(spark, sf):
 
 
 _CROSS = Strategy("cross", entry_long=(Condition(feat("close"), "cross_above", feat("sma", n="$n")),), exit_long=(Condition(feat("close"), "cross_below", feat("sma", n="$n")),), stop=Stop("percent", 0.3), take_profit=TakeProfit("r_multiple", 2.0), max_holding_bars=20, params={"n": 20})
-_SETUP = simulate.Setup(costs=simulate.Costs(participation=1.0), max_positions=3)
+_SETUP = simulate.Setup(market=simulate.Market(participation=1.0), sizing=simulate.Sizing(max_positions=3))
 
 
 def _decisions(spark, sf):
@@ -178,16 +181,16 @@ def _decisions(spark, sf):
 
 def simulated_trades(spark, sf):
     """B1 to B13."""
-    return tidy(simulate.records(simulate.simulate(_decisions(spark, sf), {"base": simulate.Setup(costs=simulate.Costs(participation=1.0), max_positions=3, max_holding=20)}))[0])
+    return tidy(simulate.records(simulate.simulate(_decisions(spark, sf), {"base": replace(_SETUP, max_holding=20)}))[0])
 
 
 def simulated_equity(spark, sf):
-    return tidy(simulate.records(simulate.simulate(_decisions(spark, sf), {"base": simulate.Setup(costs=simulate.Costs(participation=1.0), max_positions=3, max_holding=20)}))[1])
+    return tidy(simulate.records(simulate.simulate(_decisions(spark, sf), {"base": replace(_SETUP, max_holding=20)}))[1])
 
 
 def conservation(spark, sf):
     """Profits of all trades are the change of equity; the differences, which are 0."""
-    runs = {f"n{n}": (_CROSS.with_params(n=n), None, None) for n in (10, 20, 50)}
+    runs = {f"n{n}": (with_params(_CROSS, n=n), None, None) for n in (10, 20, 50)}
     trades, equity, _ = rs.Bench(src.order_bars(spark, sf), _SETUP).wave(runs)
     last = equity.groupBy("run_id").agg(F.max_by("equity", "ts").alias("last"))
     gap = trades.groupBy("run_id").agg(F.sum("pnl").alias("pnl")).join(last, "run_id")
@@ -242,7 +245,7 @@ def parameter_robustness(spark, sf):
 
 def monte_carlo_shuffle(spark, sf):
     """Shuffled orders of trades; the final return is the same in all."""
-    trades = _trades(spark, sf).where("seq % 20 = 0").withColumn("pnl", F.col("pnl") / 1e4)
+    trades = _trades(spark, sf).withColumn("pnl", F.col("pnl") / 1e4)
     got = rs.monte_carlo(trades, 10_000.0, sims=200, method="shuffle")
     return tidy(got.select("run_id", "n_trades", (F.abs(F.col("return_p5") - F.col("return_p95")) < 1e-9).alias("fixed"), F.round("return_p50", 4).alias("final")))
 
@@ -288,7 +291,7 @@ def paper_fills(spark, sf):
     orders = e.select(F.col("event_type").alias("account"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.lit("order").alias("kind"), F.col("event_type").alias("symbol"), F.col("event_id").cast("string").alias("order_id"), F.when(F.col("event_id") % 4 == 0, "SELL").otherwise("BUY").alias("side"), kind.alias("order_type"), F.lit(1.0).alias("qty"), F.col("value").alias("limit_price"), F.col("value").alias("stop_price"))
     rows = orders.unionByName(bars.select("account", "at", "seq", "kind", "symbol", "open", "high", "low", "close", "volume"), allowMissingColumns=True)
     cols = "account at seq kind symbol order_id side order_type qty limit_price stop_price open high low close volume".split()
-    return tidy(replay(rows.select(*cols), 1e5, simulate.Costs(participation=0.1)).drop("reason"))
+    return tidy(replay(rows.select(*cols), 1e5, market=simulate.Market(participation=0.1)).drop("reason"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -342,10 +345,10 @@ def _risk_sql(v: dict) -> str:
         (f"equity / week_start - 1 <= -{v['WEEK']}", "weekly loss limit hit"), (f"losses >= {v['LOSS']}", "consecutive losses"), ("ddm <= 0", "drawdown beyond de-risk stop"),
     ]
     listed = ", ".join(f"CASE WHEN coalesce({c}, false) THEN '{w}' END" for c, w in blocks)
-    return f"""WITH pf AS (SELECT c_custkey AS pid, c_acctbal AS equity, c_acctbal * 0.6 AS cash, c_acctbal * (1 + (c_custkey % 5) * 0.06) AS peak, c_acctbal * (1 + (c_custkey % 7) * 0.006) AS day_start, c_acctbal * (1 + (c_custkey % 11) * 0.007) AS week_start, c_custkey % 7 AS losses FROM customer WHERE c_custkey <= 200 AND c_acctbal > 100),
-        it AS (SELECT p_partkey AS intent_id, p_partkey % 200 + 1 AS pid, 'S' || (p_partkey % 9) AS symbol, CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END AS direction, p_retailprice / 20 AS entry, p_retailprice / 20 * CASE WHEN p_partkey % 4 = 0 THEN 1.05 ELSE 0.95 END AS stop, p_brand AS sector,
-          CASE WHEN p_partkey % 6 = 0 THEN 0.4 ELSE 1.0 END::DOUBLE AS health, p_size / 50 AS confidence, CASE WHEN p_partkey % 5 = 0 THEN 20000.0 END::DOUBLE AS adv, p_size::DOUBLE AS spread_bps, p_partkey % 8 = 0 AS shortable, p_partkey % 13 AS days, p_partkey % 29 <> 0 AS data_valid FROM part WHERE p_partkey <= 200),
-        ps AS (SELECT p_partkey % 200 + 1 AS pid, 'S' || ((p_partkey + 1) % 9) AS symbol, 5.0::DOUBLE * p_retailprice / 30 AS notional, greatest(p_retailprice / 30 - p_retailprice / 32, 0) * 5.0::DOUBLE AS risk, p_brand AS sector FROM part WHERE p_partkey <= 200 AND p_partkey % 3 = 0),
+    return f"""WITH pf AS (SELECT c_custkey AS pid, c_acctbal AS equity, c_acctbal * 0.6 AS cash, c_acctbal * (1 + (c_custkey % 5) * 0.06) AS peak, c_acctbal * (1 + (c_custkey % 7) * 0.006) AS day_start, c_acctbal * (1 + (c_custkey % 11) * 0.007) AS week_start, c_custkey % 7 AS losses FROM customer WHERE c_acctbal > 100), nc AS (SELECT count(*) AS n FROM customer),
+        it AS (SELECT p_partkey AS intent_id, p_partkey % n + 1 AS pid, 'S' || (p_partkey % 9) AS symbol, CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END AS direction, p_retailprice / 20 AS entry, p_retailprice / 20 * CASE WHEN p_partkey % 4 = 0 THEN 1.05 ELSE 0.95 END AS stop, p_brand AS sector,
+          CASE WHEN p_partkey % 6 = 0 THEN 0.4 ELSE 1.0 END::DOUBLE AS health, p_size / 50 AS confidence, CASE WHEN p_partkey % 5 = 0 THEN 20000.0 END::DOUBLE AS adv, p_size::DOUBLE AS spread_bps, p_partkey % 8 = 0 AS shortable, p_partkey % 13 AS days, p_partkey % 29 <> 0 AS data_valid FROM part, nc),
+        ps AS (SELECT p_partkey * 3 % n + 1 AS pid, 'S' || ((p_partkey + 1) % 9) AS symbol, 5.0::DOUBLE * p_retailprice / 30 AS notional, greatest(p_retailprice / 30 - p_retailprice / 32, 0) * 5.0::DOUBLE AS risk, p_brand AS sector FROM part, nc),
         sm AS (SELECT pid, count(*) AS n_pos, sum(notional) AS gross, 0.0::DOUBLE AS short_, sum(risk) AS open_ FROM ps GROUP BY pid), sc AS (SELECT pid, sector, sum(notional) AS in_sector FROM ps GROUP BY ALL),
         x AS (SELECT it.*, equity, cash, peak, day_start, week_start, losses, coalesce(n_pos, 0) AS n_pos, coalesce(gross, 0) AS gross, coalesce(short_, 0) AS short_, coalesce(open_, 0) AS open_, coalesce(in_sector, 0) AS in_sector, EXISTS (SELECT 1 FROM ps WHERE ps.pid = it.pid AND ps.symbol = it.symbol) AS held
           FROM it JOIN pf USING (pid) LEFT JOIN sm USING (pid) LEFT JOIN sc USING (pid, sector)),
@@ -376,7 +379,7 @@ ORACLES = {
         p AS (SELECT a.symbol AS a, b.symbol AS b, covar_samp(a.ret, b.ret) AS c, corr(a.ret, b.ret) AS k, stddev_samp(a.ret) AS sa, stddev_samp(b.ret) AS sb, count(*) AS n FROM x a JOIN x b USING (ts) GROUP BY ALL), m AS (SELECT avg(k) FILTER (a <> b) AS k FROM p)
         SELECT a, b, round((1 - 3.0 / (3 + n)) * c + 3.0 / (3 + n) * CASE WHEN a = b THEN sa * sa ELSE m.k * sa * sb END, 6) + 0.0 AS cov FROM p, m""",
     "calibration_table": f"WITH {_CAL} SELECT bin, round(lo_edge, 6) + 0.0 AS lo_edge, round(hi_edge, 6) + 0.0 AS hi_edge, n, round(p, 6) + 0.0 AS win_rate, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / d, 6) + 0.0 AS ci_low, round((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / d, 6) + 0.0 AS ci_high, n >= 30 AS usable FROM c",
-    "calibrated_confidence": f"WITH {_CAL} SELECT event_id, round(value, 6) + 0.0 AS score, round((SELECT p FROM c WHERE c.bin = greatest(0, least(len(list_filter(edges, lambda x: x <= value)) - 1, len(edges) - 2))::INT), 6) + 0.0 AS confidence FROM events, edges WHERE event_id < 200",
+    "calibrated_confidence": f"WITH {_CAL} SELECT event_id, round(value, 6) + 0.0 AS score, round((SELECT p FROM c WHERE c.bin = greatest(0, least(len(list_filter(edges, lambda x: x <= value)) - 1, len(edges) - 2))::INT), 6) + 0.0 AS confidence FROM events, edges",
     "risk_decisions": _risk_sql(_L) + ", round(CASE WHEN approved THEN qty * dist ELSE 0 END, 6) + 0.0 AS risk_amount, round(CASE WHEN approved THEN qty * entry ELSE 0 END, 6) + 0.0 AS notional, array_to_string(reasons, '; ') AS reasons, CASE WHEN len(blocks) > 0 THEN '' ELSE array_to_string(adj, '; ') END AS adjustments FROM z",
     "risk_decisions_micro": _risk_sql(_M) + " FROM z",
     "lifecycle_requests": """WITH st AS (SELECT ['ACTIVE', 'APPROVED', 'BACKTESTED', 'CANDIDATE', 'DEGRADED', 'DISABLED', 'PAPER', 'REJECTED', 'RESEARCH', 'UNDER_REVIEW', 'VALIDATING'] AS s),
@@ -390,7 +393,7 @@ ORACLES = {
     "walk_forward_folds": f"""WITH {BARS}, l AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM bars)), f AS (SELECT i::INT AS fold, i * 126 AS s FROM range(0, 1000) t(i) WHERE i * 126 + 504 + 5 + 126 + 5 + 126 <= (SELECT max(n) FROM l)),
         p AS (SELECT fold, 'train' AS part, s AS a, s + 503 AS b FROM f UNION ALL SELECT fold, 'validate', s + 509, s + 634 FROM f UNION ALL SELECT fold, 'test', s + 640, s + 765 FROM f)
         SELECT fold, part, strftime(x.ts, '%Y-%m-%d') AS first_day, strftime(y.ts, '%Y-%m-%d') AS last_day FROM p JOIN l x ON x.k = a JOIN l y ON y.k = b""",
-    "monte_carlo_shuffle": f"""WITH {_TRADES}, t AS (SELECT run_id, pnl / 1e4 AS pnl, 10000 + sum(pnl / 1e4) OVER (PARTITION BY run_id ORDER BY exit_ts, seq) - pnl / 1e4 AS before FROM trades WHERE seq % 20 = 0) SELECT run_id, count(*)::INT AS n_trades, CASE WHEN count(*) >= 30 THEN true END AS fixed, CASE WHEN count(*) >= 30 THEN round(product(1 + pnl / before) - 1, 4) + 0.0 END AS final FROM t GROUP BY run_id""",
+    "monte_carlo_shuffle": f"""WITH {_TRADES}, t AS (SELECT run_id, pnl / 1e4 AS pnl, 10000 + sum(pnl / 1e4) OVER (PARTITION BY run_id ORDER BY exit_ts, seq) - pnl / 1e4 AS before FROM trades) SELECT run_id, count(*)::INT AS n_trades, CASE WHEN count(*) >= 30 THEN true END AS fixed, CASE WHEN count(*) >= 30 THEN round(product(1 + pnl / before) - 1, 4) + 0.0 END AS final FROM t GROUP BY run_id""",
     "stream_bars_batch": f"WITH {HOUR_BARS} SELECT symbol, ts, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, volume FROM bars",
     "stream_session_windows": """WITH e AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM e)
         SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY symbol, k""",

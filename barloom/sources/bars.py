@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import clean_number
+from .storage import exists
 
 PRICES = ["open", "high", "low", "close", "volume"]
 BAR_SCHEMA = "ts string, open string, high string, low string, close string, volume string"
@@ -27,18 +27,14 @@ def read_csv_bars(spark: SparkSession, root: str, timeframe: str, symbols: list[
 
 def read_csv_actions(spark: SparkSession, root: str, symbol: str) -> DataFrame:
     """Corporate actions from <root>/actions/<SYMBOL>.csv; none if the file is missing."""
-    try:
-        raw = spark.read.schema(ACTION_SCHEMA).option("header", True).csv(f"{root}/actions/{symbol}.csv")
-    except AnalysisException:
-        raw = spark.createDataFrame([], ACTION_SCHEMA)
+    path = f"{root}/actions/{symbol}.csv"
+    raw = spark.read.schema(ACTION_SCHEMA).option("header", True).csv(path) if exists(spark, path) else spark.createDataFrame([], ACTION_SCHEMA)
     return raw.select(F.lit(symbol).alias("symbol"), F.to_date("ex_date").alias("ex_date"), "kind", "value")
 
 
 def supported_timeframes(spark: SparkSession, root: str) -> list[str]:
     """The timeframes that have a folder under root."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(t for t in ("1h", "4h", "1d", "1w") if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, t)))
+    return sorted(t for t in ("1h", "4h", "1d", "1w") if exists(spark, f"{root}/{t}"))
 
 
 def derive_bars(events: DataFrame, symbol: Column, ts: Column, price: Column, order: Column, volume: Column | None = None) -> DataFrame:
@@ -84,13 +80,10 @@ def store_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     """
     spark = bars.sparkSession
     new = bars.withColumn("timeframe", F.lit(timeframe))
-    try:
+    if exists(spark, path):
         old = load_bars(spark, path)
-    except AnalysisException:
-        old = None
-    if old is not None:
         ranges = new.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        kept = old.where(F.col("timeframe") == timeframe).join(F.broadcast(ranges), "symbol").where("ts < lo or ts > hi").drop("lo", "hi")
+        kept = old.where(F.col("timeframe") == timeframe).join(ranges, "symbol").where("ts < lo or ts > hi").drop("lo", "hi")
         new = kept.unionByName(new, allowMissingColumns=True)
     # Spark refuses to overwrite what it reads, so the new state is cut from the old files first
     from ..plans.state import cut

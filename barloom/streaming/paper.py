@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.simulate import Costs
+from ..operators.simulate import Fees, Market
 
 #: account, at and seq order the rows; an order row has order_id.., a bar row open..
 INPUT = "account string, at timestamp, seq long, kind string, symbol string, order_id string, side string, order_type string, qty double, limit_price double, stop_price double, open double, high double, low double, close double, volume double"
@@ -22,7 +22,7 @@ OUTPUT = "account string, at timestamp, order_id string, symbol string, status s
 
 
 def fresh(cash: float) -> dict:
-    return {"cash": cash, "held": {}, "average": {}, "orders": {}}
+    return {"cash": cash, "held": {}, "average": {}, "orders": {}, "done": {}}
 
 
 def _problem(state: dict, row) -> str | None:
@@ -50,25 +50,36 @@ def _reference(order: dict, bar) -> float | None:
     return None
 
 
-def step(state: dict, row, costs: Costs) -> list[tuple]:
-    """Take one row into an account's state; returns output rows without the account."""
+def step(state: dict, row, fees: Fees, market: Market) -> list[tuple]:
+    """Take one row into an account's state; returns output rows without the account.
+
+    Of an order that is no longer open only its id is kept, so that sending it again changes nothing.
+    """
+
+    def close(order_id: str) -> None:
+        del state["orders"][order_id]
+        state["done"][order_id] = 1
+
     if row.kind == "order":
-        if row.order_id in state["orders"]:
+        if row.order_id in state["orders"] or row.order_id in state["done"]:
             return []  # sent again: nothing changes
         problem = _problem(state, row)
-        state["orders"][row.order_id] = {"symbol": row.symbol, "side": row.side, "type": row.order_type, "left": row.qty, "limit": row.limit_price, "stop": row.stop_price, "open": problem is None}
+        if problem:
+            state["done"][row.order_id] = 1
+        else:
+            state["orders"][row.order_id] = {"symbol": row.symbol, "side": row.side, "type": row.order_type, "left": row.qty, "limit": row.limit_price, "stop": row.stop_price}
         return [(row.at, row.order_id, row.symbol, "REJECTED" if problem else "NEW", 0.0, None, 0.0, state["cash"], state["held"].get(row.symbol, 0.0), problem)]
-    out, most = [], row.volume * costs.participation if row.volume > 0 else 0.0
-    for order_id, order in state["orders"].items():
-        if not order["open"] or order["symbol"] != row.symbol or (ref := _reference(order, row)) is None:
+    out, most = [], market.available(row.volume)
+    for order_id, order in list(state["orders"].items()):  # open ones only
+        if order["symbol"] != row.symbol or (ref := _reference(order, row)) is None:
             continue
         qty, sign = min(order["left"], most), 1 if order["side"] == "BUY" else -1
         if qty <= 0:
             continue
-        price = ref if order["type"] == "LIMIT" else costs.fill(ref, sign)
-        fee, had = costs.commission(qty, price), state["held"].get(row.symbol, 0.0)
+        price = ref if order["type"] == "LIMIT" else market.price(ref, sign)
+        fee, had = fees.of(qty, price), state["held"].get(row.symbol, 0.0)
         if sign > 0 and had >= 0 and qty * price + fee > state["cash"] + 1e-9:
-            order["open"] = False
+            close(order_id)
             out.append((row.at, order_id, row.symbol, "REJECTED", 0.0, None, 0.0, state["cash"], had, "insufficient cash"))
             continue
         now = had + sign * qty
@@ -79,31 +90,33 @@ def step(state: dict, row, costs: Costs) -> list[tuple]:
         state["cash"] -= sign * qty * price + fee
         state["held"][row.symbol] = now
         order["left"] -= qty
-        order["open"] = order["left"] > 1e-12
-        out.append((row.at, order_id, row.symbol, "PARTIALLY_FILLED" if order["open"] else "FILLED", qty, price, fee, state["cash"], now, None))
+        part = order["left"] > 1e-12
+        if not part:
+            close(order_id)
+        out.append((row.at, order_id, row.symbol, "PARTIALLY_FILLED" if part else "FILLED", qty, price, fee, state["cash"], now, None))
     return out
 
 
 _NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
 
 
-def _run(account: str, state: dict, pdf: pd.DataFrame, costs: Costs) -> pd.DataFrame:
-    rows = [(account, *x) for row in pdf.sort_values(["at", "seq"]).itertuples(index=False) for x in step(state, row, costs)]
+def _run(account: str, state: dict, pdf: pd.DataFrame, fees: Fees, market: Market) -> pd.DataFrame:
+    rows = [(account, *x) for row in pdf.sort_values(["at", "seq"]).itertuples(index=False) for x in step(state, row, fees, market)]
     return pd.DataFrame(rows, columns=_NAMES)
 
 
-def replay(rows: DataFrame, cash: float, costs: Costs = Costs()) -> DataFrame:
+def replay(rows: DataFrame, cash: float, fees: Fees = Fees(), market: Market = Market()) -> DataFrame:
     """All fills and refusals of INPUT rows, account by account."""
-    return rows.groupBy("account").applyInPandas(lambda key, pdf: _run(key[0], fresh(cash), pdf, costs), OUTPUT)
+    return rows.groupBy("account").applyInPandas(lambda key, pdf: _run(key[0], fresh(cash), pdf, fees, market), OUTPUT)
 
 
-def match_stream(rows: DataFrame, cash: float, costs: Costs = Costs()) -> DataFrame:
+def match_stream(rows: DataFrame, cash: float, fees: Fees = Fees(), market: Market = Market()) -> DataFrame:
     """The same over a stream of INPUT rows that come in order; an account's state is kept as JSON."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else fresh(cash)
         pdf = pd.concat(list(batches))
-        out = _run(key[0], own, pdf, costs)
+        out = _run(key[0], own, pdf, fees, market)
         state.update((json.dumps(own),))
         yield out
 

@@ -26,4 +26,4 @@ def test_ingest_to_backtest(spark, tmp_path):
     trades, equity, _ = entry.backtest(spark, store, s, ["AAA"])
     assert trades.count() > 0 and equity.count() == 60
     with pytest.raises(KeyError):
-        entry.specs_of("nothing:3")
+        entry.features_of("nothing:3")

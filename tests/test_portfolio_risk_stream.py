@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.stats import binomial_cdf, student_cdf
 from barloom.operators import lifecycle, metrics, portfolio, risk, selection
-from barloom.operators.simulate import Costs
+from barloom.operators.simulate import Market
 from barloom.streaming import bars as sb
 from barloom.streaming.paper import INPUT, match_stream, reconcile, replay
 
@@ -153,7 +153,7 @@ def bar(at, o, h, low, c, v=1e6):
 def test_paper_broker(spark):
     rows = [order(1, 0, "m"), order(1, 1, "m"), order(1, 2, "s", "SELL", "STOP", stop=95.0), order(1, 3, "l", kind="LIMIT", qty=1000.0, limit=80.0), order(1, 4, "bad", kind="LIMIT"), bar(2, 100, 101, 99, 100), order(2, 101, "s", "SELL", "STOP", stop=95.0), order(2, 102, "s2", "SELL", "STOP", stop=95.0), bar(3, 90, 91, 88, 89), bar(4, 85, 86, 79, 80, 2000)]
     df = spark.createDataFrame(rows, INPUT)
-    got = replay(df, 1e6, Costs(spread_bps=10, slippage_bps=0, participation=0.1)).collect()
+    got = replay(df, 1e6, market=Market(spread_bps=10, slippage_bps=0, participation=0.1)).collect()
     fills = {(r.order_id, r.status): (r.qty, r.price) for r in got}
     assert fills["m", "FILLED"] == (10.0, pytest.approx(100.05)) and sum(r.order_id == "m" and r.status == "NEW" for r in got) == 1
     assert ("s", "REJECTED") in fills and ("bad", "REJECTED") in fills
@@ -165,10 +165,10 @@ def test_paper_stream_equals_replay(spark, tmp_path):
     for k, part in enumerate((rows[:6], rows[6:])):
         spark.createDataFrame(part, INPUT).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = match_stream(stream, 1e5, Costs(participation=0.05)).writeStream.format("memory").queryName("fills_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = match_stream(stream, 1e5, market=Market(participation=0.05)).writeStream.format("memory").queryName("fills_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    want = replay(spark.createDataFrame(rows, INPUT), 1e5, Costs(participation=0.05)).collect()
+    want = replay(spark.createDataFrame(rows, INPUT), 1e5, market=Market(participation=0.05)).collect()
     assert sorted(map(str, spark.table("fills_out").collect())) == sorted(map(str, want))
 
 

@@ -38,7 +38,7 @@ def test_decay_judges_all_trades_of_all_runs(spark, sf, monkeypatch):
 def test_paper_broker_gets_every_order(spark, sf, monkeypatch):
     seen = []
     replay = research.replay
-    monkeypatch.setattr(research, "replay", lambda rows, *a: seen.append(rows) or replay(rows, *a))
+    monkeypatch.setattr(research, "replay", lambda rows, *a, **k: seen.append(rows) or replay(rows, *a, **k))
     research.paper_fills(spark, sf)
     assert seen[0].where("kind = 'order'").count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
