@@ -3,7 +3,7 @@
 Documents are dealt into groups.  Each group sends the distinct window hashes it holds, packed by
 hash range; each range counts how many groups sent a hash and answers with one bit per hash; the
 group then merges its repeated windows into maximal intervals.  A hash crosses the network once,
-as 12 bytes; a window repeated in a third of all documents arrives at its range once per group.  At 10**13
+as 10 bytes or so, since sorted hashes travel as differences; a window repeated in a third of all documents arrives at its range once per group.  At 10**13
 different windows, 96 bits leave a chance of about 1 in 1,000 that any two share a hash.
 """
 
