@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions
-from .words import U64, checks, hash_words, sort_pairs, windows
+from .words import U64, checks, hash_words, pack, sort_pairs, unpack, windows
 
 _REQUEST, _ANSWER = "part int, grp long, hashes binary, checks binary", "part int, grp long, repeated binary"
 
@@ -44,14 +44,15 @@ def _requests(width: int, parts: int):
         _, _, distinct, check, _, _ = _group_windows(table.column("text"), width)
         cuts = np.searchsorted(_ranges(distinct, parts), np.arange(parts + 1))
         full = np.flatnonzero(np.diff(cuts))
-        pack = lambda x: pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary())
-        return pa.table({"part": pa.array(full, pa.int32()), "grp": pa.array(np.full(len(full), table.column("grp")[0].as_py()), pa.int64()), "hashes": pack(distinct), "checks": pack(check)})
+        own = [slice(cuts[p], cuts[p + 1]) for p in full]
+        sent = {"hashes": pa.array([pack(distinct[x]) for x in own], pa.binary()), "checks": pa.array([check[x].tobytes() for x in own], pa.binary())}
+        return pa.table({"part": pa.array(full, pa.int32()), "grp": pa.array(np.full(len(full), table.column("grp")[0].as_py()), pa.int64()), **sent})
 
     return run
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    sent = [np.frombuffer(x.as_buffer(), U64) for x in table.column("hashes")]
+    sent = [unpack(x.as_buffer()) for x in table.column("hashes")]
     order, new = sort_pairs(np.concatenate(sent), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("checks")]))
     times = np.diff(np.append(np.flatnonzero(new), len(order)))
     again = np.empty(len(order), bool)  # a group sends a hash once, so two are from two groups

@@ -117,6 +117,24 @@ def checks(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return (mix(_window_hash(mix(hashes ^ _GRAM), starts, starts + width, _BASE)) >> U64(32)).astype(np.uint32)
 
 
+def pack(ascending: np.ndarray) -> bytes:
+    """64-bit values in ascending order as their differences: how many bytes one takes, then so many bytes each."""
+    steps = np.diff(ascending, prepend=U64(0)).astype("<u8")
+    # the first value is a step of its own, and may be as long as a hash: it goes ahead, whole
+    rest = steps[1:]
+    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(rest) else 1
+    return bytes([width]) + steps[:1].tobytes() + rest.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    width, first = int(raw[0]), raw[1:9].copy().view("<u8")
+    rest = raw[9:].reshape(-1, width)
+    steps = np.zeros((len(rest), 8), np.uint8)
+    steps[:, :width] = rest
+    return np.cumsum(np.concatenate([first, steps.view("<u8").ravel()]), dtype=U64)
+
+
 def sort_pairs(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal (hash, check) pairs stand together, and whether a pair differs from the one before it."""
     order = np.argsort(hashes, kind="stable")

@@ -58,6 +58,16 @@ def test_windows_whose_hashes_collide_are_told_apart(monkeypatch):
     assert sorted(got) == sorted(r[:3] for r in brute.substrings(rows, 7))
 
 
+@pytest.mark.parametrize("top", [1, 2**20, 2**63])
+@pytest.mark.parametrize("n", [1, 2, 1000])
+def test_hashes_travel_as_differences(top, n):
+    from barloom.llm.words import pack, unpack
+
+    values = np.sort(np.random.default_rng(n).integers(0, top, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    assert (unpack(pack(values)) == values).all()
+    assert (unpack(pack(np.array([2**64 - 1], np.uint64))) == 2**64 - 1).all()
+
+
 @pytest.mark.parametrize("limit", [8 << 20, 0])
 def test_hot_groups_join_in_parts(spark, monkeypatch, limit):
     from pyspark.sql import functions as F
