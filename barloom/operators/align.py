@@ -109,9 +109,14 @@ def members(membership: DataFrame, universe: str, day: str) -> DataFrame:
     return membership.where((F.col("universe") == universe) & (F.col("start_date") <= at) & (F.col("end_date").isNull() | (F.col("end_date") > at))).select("symbol").distinct().orderBy("symbol")
 
 
+def histories(membership: DataFrame) -> DataFrame:
+    """universe, has_history: whether it has closed intervals, and so is more than a snapshot of today."""
+    return membership.groupBy("universe").agg(F.max(F.col("end_date").isNotNull()).alias("has_history"))
+
+
 def has_history(membership: DataFrame, universe: str) -> bool:
-    """Whether a universe has closed intervals, and so is more than a snapshot of today."""
-    return bool(membership.where((F.col("universe") == universe) & F.col("end_date").isNotNull()).limit(1).count())
+    """The same for one universe; False for an unknown one."""
+    return bool(histories(membership.where(F.col("universe") == universe)).where("has_history").limit(1).count())
 
 
 def latest_facts(facts: DataFrame, at: Column, keys: list[str], order: list[str]) -> DataFrame:

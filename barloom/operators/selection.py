@@ -16,10 +16,41 @@ def forward_return(bars: DataFrame, horizon: int = 1) -> DataFrame:
     return bars.withColumn("label", ratio(F.lead("close", horizon).over(by_symbol()), F.col("close")) - 1)
 
 
-def _average_rank(col: Column, *group: str) -> Column:
-    """Rank with ties at their mean."""
-    order = Window.partitionBy(*group).orderBy(col)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*group, col)) - 1) / 2.0
+#: Parts that a key's rows are dealt into, by value, before they are ranked
+PARTS = 128
+
+
+def _placed(rows: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """rows with _part, which ascends in value within a key, _before, the rows of lower parts, and _all, the key's rows.
+
+    Parts are cut at approximate quantiles, so no task orders a key's whole history; equal values share a part.
+    """
+    edges = rows.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 1000).alias("_edges"))
+    dealt = rows.join(edges, key).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    sizes = dealt.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*key).orderBy("_part")
+    before = (F.sum("_n").over(line) - F.col("_n")).alias("_before")
+    return dealt.join(sizes.select(*key, "_part", before, F.sum("_n").over(Window.partitionBy(*key)).alias("_all")), [*key, "_part"])
+
+
+def _ranked(rows: DataFrame, ranks: dict[str, str], key: list[str]) -> DataFrame:
+    """rows with a column of ranks within key for each value, ties at their mean."""
+    for out, value in ranks.items():
+        placed = _placed(rows, value, key)
+        inside = Window.partitionBy(*key, "_part").orderBy(value)
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*key, "_part", value))
+        rows = placed.withColumn(out, F.col("_before") + F.rank().over(inside) + (ties - 1) / 2.0).drop("_part", "_before", "_all")
+    return rows
+
+
+def _chunked(rows: DataFrame, key: list[str], time: str, tie: str, chunks: int) -> DataFrame:
+    """rows with chunk, 1 to chunks: runs of time of equal size, of which the first are one longer."""
+    placed = _placed(rows, time, key)
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*key, "_part").orderBy(time, tie))
+    base = F.floor(F.col("_all") / chunks)
+    longer = (F.col("_all") % chunks) * (base + 1)
+    chunk = F.when(at <= longer, F.ceil(at / (base + 1))).otherwise(F.col("_all") % chunks + F.ceil((at - longer) / F.greatest(base, F.lit(1))))
+    return placed.withColumn("chunk", chunk.cast("int")).drop("_part", "_before", "_all")
 
 
 def _long(rows: DataFrame, features: list[str], label: str, *keep: str) -> DataFrame:
@@ -32,16 +63,15 @@ def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups:
     """feature (per groups), n, ic: Spearman correlation with the label; NULL under `least` observations."""
     long = _long(rows, features, label, *groups)
     key = [*groups, "feature"]
-    ranked = long.withColumns({"rx": _average_rank(F.col("x"), *key), "ry": _average_rank(F.col("y"), *key)})
+    ranked = _ranked(long, {"rx": "x", "ry": "y"}, key)
     return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
 def ic_stability(rows: DataFrame, features: list[str], label: str = "label", chunks: int = 5) -> DataFrame:
     """feature, ic_mean, ic_sd, sign_consistency over contiguous chunks of time; the first chunks are one longer."""
     long = _long(rows, features, label, "symbol", "ts")
-    long = long.withColumn("chunk", F.ntile(chunks).over(Window.partitionBy("feature").orderBy("ts", "symbol")))
     key = ["feature", "chunk"]
-    ranked = long.withColumns({"rx": _average_rank(F.col("x"), *key), "ry": _average_rank(F.col("y"), *key)})
+    ranked = _ranked(_chunked(long, ["feature"], "ts", "symbol", chunks), {"rx": "x", "ry": "y"}, key)
     per = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).where("n >= 30 and ic is not null")
     return per.groupBy("feature").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), F.greatest(F.avg((F.col("ic") > 0).cast("double")), F.avg((F.col("ic") < 0).cast("double"))).alias("sign_consistency"))
 
@@ -50,7 +80,7 @@ def redundancy(rows: DataFrame, features: list[str], threshold: float = 0.9) ->
     """a, b, rho of feature pairs whose rank correlation is at least threshold either way, strongest first."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in combinations(sorted(features), 2)]))
     long = rows.select(pairs.alias("p")).select("p.*").where("x is not null and y is not null")
-    ranked = long.withColumns({"rx": _average_rank(F.col("x"), "a", "b"), "ry": _average_rank(F.col("y"), "a", "b")})
+    ranked = _ranked(long, {"rx": "x", "ry": "y"}, ["a", "b"])
     return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho")).where(F.abs("rho") >= threshold).orderBy(F.abs("rho").desc(), "a", "b")
 
 

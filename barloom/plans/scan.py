@@ -44,7 +44,7 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
         trend = regimes.classify(clean.where(F.col("symbol") == benchmark))
         universe = clean.where(F.col("symbol") != benchmark)
     active = [s for s in slots if s.status in TRADABLE]
-    features = compute(universe, [f for s in active for f in bind(s.strategy).features])
+    features = cut(compute(universe, [f for s in active for f in bind(s.strategy).features]))
     decided = []
     for slot in active:
         if slot.strategy.allowed_regimes is not None and trend is None:
@@ -58,10 +58,10 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
             (F.col("b.close") - side * F.col("b.stop_dist")).alias("stop"), (F.col("b.close") + side * F.col("b.tp_dist")).alias("target"), F.col("b.rank").alias("rank"), F.col("b.ts").alias("bar_ts"), F.col("b.available_at").alias("available_at"),
         ))
     found = reduce(DataFrame.unionByName, decided)
-    found = found.withColumn("intent_id", F.concat_ws("|", "symbol", "strategy_id")).join(F.broadcast(portfolios.select("portfolio_id")), how="cross")
+    found = found.withColumn("intent_id", F.concat_ws("|", "symbol", "strategy_id")).join(portfolios.select("portfolio_id"), how="cross")
     found = found.withColumns({"intent_id": F.concat_ws("|", "intent_id", "portfolio_id"), "shortable": F.when(F.col("direction") > 0, True)})
     if sectors is not None:
-        found = found.join(F.broadcast(sectors.select("symbol", "sector")), "symbol", "left")
+        found = found.join(sectors.select("symbol", "sector"), "symbol", "left")
     verdict = evaluate(found, portfolios, positions, limits, correlations)
     out = found.join(verdict, "intent_id")
     label = F.when(~F.col("approved"), "NO_TRADE").when(F.col("direction") > 0, "LONG").otherwise("SHORT")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
 from ..operators.quality import Limits, validate
 from ..sources import bars as src
-from ..sources.calendar import weekday_calendar
+from ..sources.calendar import exchange_calendar, weekday_calendar
 from .base import BARS, CALENDAR, CALENDAR_SPAN, HOUR_BARS, NATION_BARS, SHIP_BARS, rounded, table, tidy
 
 _OHLCV = ["open", "high", "low", "close", "volume"]
@@ -42,6 +44,30 @@ def canonical_bars(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(align.canonical(raw, "1d"))
 
 
+def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of all bars, the range of 1996 replaced twice, read back."""
+    from ..plans.state import shared_path
+
+    bars, path = src.order_bars(spark, sf), shared_path(spark, "store")
+    src.store_bars(bars, path, "1d")
+    for _ in range(2):
+        src.store_bars(bars.where("year(ts) = 1996").withColumn("volume", F.col("volume") + 0.5), path, "1d")
+    return tidy(src.load_bars(spark, path, timeframe="1d").select("symbol", "ts", *_OHLCV))
+
+
+def exchange_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Trading days and early closes of each year."""
+    cal = exchange_calendar(spark, date(2019, 1, 1), date(2024, 12, 31))
+    early = (F.hour(F.from_utc_timestamp("close_at", "America/New_York")) == 13).cast("int")
+    return cal.groupBy(F.year("session").alias("year")).agg(F.count(F.lit(1)).alias("sessions"), F.sum(early).alias("early"))
+
+
+def universe_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Which universes are more than a snapshot."""
+    rows = _membership(spark, sf).withColumn("universe", F.concat_ws("-", "universe", (F.right("symbol", F.lit(1)).cast("int") % 3).cast("string")))
+    return align.histories(rows.withColumn("end_date", F.when(~F.col("universe").endswith("-1"), F.col("end_date"))))
+
+
 def symbols_with_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Assets that have prices, by a semi join."""
     assets = spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "symbol string")
@@ -181,6 +207,7 @@ def quality_short_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     bars_daily, bars_daily_nation, bars_hourly, bars_shipments, bars_in_range, canonical_bars, symbols_with_prices, calendar_sessions, available_daily, available_weekly, available_hourly, resample_4h,
     resample_weekly, asof_join, adjust_splits, adjust_total, universe_at, facts_as_of, news_in_window, macro_vintages, upsert_actions, insert_if_absent, quality_issues, quality_clean, quality_short_sessions,
+    stored_bars, exchange_sessions, universe_history,
 )}
 
 _R = rounded(_OHLCV)
@@ -230,6 +257,10 @@ ORACLES = {
         SELECT d.symbol, d.ts, {rounded(['d.close']).replace('AS d.close', 'AS close')}, round(w.close, 6) + 0.0 AS close_week, round(w.volume, 6) + 0.0 AS volume_week FROM d ASOF LEFT JOIN (SELECT * FROM wk WHERE available_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, available_at ORDER BY ts DESC) = 1) w ON d.symbol = w.symbol AND d.ts >= w.available_at""",
     "adjust_splits": f"WITH {BARS}, {_ACTIONS}, {_FACTORS} " + _ADJUST.format(used="kind = 'split'"),
     "adjust_total": f"WITH {BARS}, {_ACTIONS}, {_FACTORS} " + _ADJUST.format(used="true"),
+    "stored_bars": f"WITH {BARS} SELECT symbol, ts, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _OHLCV[:4])}, volume + CASE WHEN year(ts) = 1996 THEN 0.5 ELSE 0 END AS volume FROM bars",
+    # published numbers of trading days; New York closes early after Thanksgiving, before Independence Day and on Christmas Eve
+    "exchange_sessions": "SELECT y::INT AS year, n::BIGINT AS sessions, e::BIGINT AS early FROM (VALUES (2019, 252, 3), (2020, 253, 2), (2021, 252, 1), (2022, 251, 1), (2023, 250, 2), (2024, 252, 3)) t(y, n, e)",
+    "universe_history": """WITH m AS (SELECT c_mktsegment || '-' || (right(c_name, 1)::INT % 3) AS universe, c_custkey % 3 = 0 AS closed FROM customer) SELECT universe, bool_or(closed AND NOT universe LIKE '%-1') AS has_history FROM m GROUP BY universe""",
     "universe_at": """WITH m AS (SELECT c_name AS symbol, DATE '1995-01-01' + (c_custkey % 2000)::INT AS s, CASE WHEN c_custkey % 3 = 0 THEN DATE '1995-01-01' + (c_custkey % 2000)::INT + 400 END AS e FROM customer WHERE c_mktsegment = 'BUILDING')
         SELECT DISTINCT symbol FROM m WHERE s <= '1998-06-01' AND (e IS NULL OR e > '1998-06-01')""",
     "facts_as_of": """WITH f AS (SELECT o_custkey AS asset, o_orderpriority AS metric, o_orderkey AS id, o_totalprice AS value, o_orderdate + to_days((o_orderkey % 30)::INT) AS a FROM orders)

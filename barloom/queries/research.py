@@ -261,6 +261,31 @@ def sharpe_scores(spark, sf):
     return tidy(spark.createDataFrame(rows, "run_id string, psr double, dsr double"))
 
 
+def _runs(spark, sf):
+    """Customers as runs that were measured in part."""
+    k, known = F.col("c_custkey"), lambda n, x: F.when(F.col("c_custkey") % n != 0, x)
+    made = {
+        "run_id": k.cast("string"), "n_trades": k % 200, "sharpe": F.col("c_acctbal") / 4000 - 0.3, "profit_factor": known(7, (k % 50) / 10), "win_rate": (k % 100) / 100, "cagr": F.col("c_acctbal") / 40000, "max_drawdown": -(k % 60) / 100,
+        "n_params": (k % 6).cast("int"), "complexity": (k % 25).cast("int"), "dsr": known(3, (k % 97) / 97), "efficiency": known(4, (k % 13) / 10), "stability": known(5, (k % 11) / 10), "concentration": known(6, (k % 17) / 17),
+        "oos_sharpe": known(8, (k % 31) / 10 - 1), "oos_return": known(8, (k % 31) / 100 - 0.1), "walked": k % 2 == 0, "return_p5": known(9, (k % 23) / 50 - 0.2), "good_months": known(10, (k % 12) / 12), "good_regimes": known(11, (k % 5) / 5), "best_baseline": known(2, (k % 19) / 10),
+    }
+    return table(spark, sf, "customer").select(*[c.alias(n) for n, c in made.items()])
+
+
+def strategy_scores(spark, sf):
+    """Overfitting risk, gates and score of many runs at once."""
+    got = rs.strategy_score(rs.overfitting(_runs(spark, sf)))
+    texts = [F.concat_ws(", ", c).alias(c) for c in ("risk_unknown", "unknown", "failed_gates")]
+    return tidy(got.select("run_id", "risk", "level", "raw_score", "score", "decision", *texts))
+
+
+def walk_forward_summary(spark, sf):
+    """Suppliers of a nation as the folds of a run; returns chained, and the deepest fall of the chain."""
+    k, b = F.col("s_suppkey"), F.col("s_acctbal")
+    folds = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("run_id"), k.cast("int").alias("fold"), (k % 9 != 0).alias("ok"), (k % 3).cast("string").alias("params"), (b / 5000).alias("train_sharpe"), F.when(k % 7 != 0, b / 9000).alias("test_sharpe"), F.when(k % 11 != 0, b / 100000 - 0.03).alias("test_return"))
+    return tidy(rs.summarise(folds))
+
+
 def market_scan(spark, sf):
     """All symbols and two strategies at one time."""
     cal = weekday_calendar(spark, *CALENDAR_SPAN)
@@ -297,7 +322,7 @@ def paper_fills(spark, sf):
 QUERIES = {f.__name__: f for f in (
     metrics_equity, metrics_drawdowns, metrics_trades, metrics_monthly, metrics_yearly, metrics_by_regime, metrics_concentration, metrics_moments, trade_report_cube, baseline_buy_and_hold, baseline_risk_free,
     portfolio_covariance, portfolio_allocation, portfolio_concentration, calibration_table, calibrated_confidence, strategy_decay, risk_decisions, risk_decisions_micro, lifecycle_requests, simulated_trades, simulated_equity,
-    conservation, truncation_check, cost_sensitivity, rule_ablation, walk_forward_folds, walk_forward, parameter_robustness, monte_carlo_shuffle, monte_carlo_bootstrap, sharpe_scores, market_scan,
+    conservation, truncation_check, cost_sensitivity, rule_ablation, walk_forward_folds, walk_forward, parameter_robustness, monte_carlo_shuffle, monte_carlo_bootstrap, sharpe_scores, strategy_scores, walk_forward_summary, market_scan,
     stream_bars_batch, stream_session_windows, paper_fills,
 )}
 
@@ -359,7 +384,43 @@ def _risk_sql(v: dict) -> str:
         SELECT intent_id, approved, CASE WHEN NOT approved THEN 'NO_TRADE' WHEN t0 = 'NORMAL' AND qty * dist < 0.75 * {v['R']} * equity THEN 'SMALL' ELSE t0 END AS tier, round(CASE WHEN approved THEN qty ELSE 0 END, 6) + 0.0 AS qty"""
 
 
+def _mean_sql(parts: dict[str, tuple[float, str]], name: str) -> str:
+    """A weighted mean of what is known, and the names of what isn't."""
+    weight = " + ".join(f"CASE WHEN ({x}) IS NULL THEN 0 ELSE {w} END" for w, x in parts.values())
+    total = " + ".join(f"coalesce({w} * ({x}), 0)" for w, x in parts.values())
+    missing = ", ".join(f"CASE WHEN ({x}) IS NULL THEN '{k}' END" for k, (_, x) in sorted(parts.items()))
+    return f"CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 0 END AS {name}, concat_ws(', ', {missing}) AS {name}_missing"
+
+
+def _score_sql() -> str:
+    unit, logistic = lambda x: f"CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least(1.0, {x})) END", lambda x, s: f"1 / (1 + exp(-({x}) / {s}))"
+    known = lambda n, x: f"CASE WHEN c_custkey % {n} <> 0 THEN {x} END"
+    runs = f"""r AS (SELECT c_custkey::VARCHAR AS run_id, (c_custkey % 200)::DOUBLE AS n, c_acctbal / 4000 - 0.3 AS sharpe, {known(7, 'c_custkey % 50 / 10')} AS factor, c_custkey % 100 / 100 AS wins, c_acctbal / 40000 AS cagr, -(c_custkey % 60) / 100 AS deep, c_custkey % 6 AS n_params, (c_custkey % 25)::DOUBLE AS complexity,
+        {known(3, 'c_custkey % 97 / 97')} AS dsr, {known(4, 'c_custkey % 13 / 10')} AS eff, {known(5, 'c_custkey % 11 / 10')} AS stab, {known(6, 'c_custkey % 17 / 17')} AS conc, {known(8, 'c_custkey % 31 / 10 - 1')} AS oos_sharpe, {known(8, 'c_custkey % 31 / 100 - 0.1')} AS oos_return, c_custkey % 2 = 0 AS walked,
+        {known(9, 'c_custkey % 23 / 50 - 0.2')} AS p5, {known(10, 'c_custkey % 12 / 12')} AS months, {known(11, 'c_custkey % 5 / 5')} AS regimes, {known(2, 'c_custkey % 19 / 10')} AS best FROM customer)"""
+    risk = {
+        "trades_per_param": (1.0, unit("1 - n / greatest(n_params, 1) / 30")), "low_trade_count": (1.0, unit("1 - n / 100")), "deflated_sharpe": (1.5, "1 - dsr"), "is_oos_degradation": (1.5, unit("1 - eff")), "parameter_sensitivity": (1.0, "1 - stab"),
+        "profit_concentration": (1.0, unit("(conc - 0.5) / 0.5")), "complexity": (0.5, unit("complexity / 15")), "too_perfect": (1.0, "(coalesce(sharpe > 3, false) OR coalesce(factor > 4, false) OR coalesce(wins > 0.8, false))::INT"),
+    }
+    merit = {
+        "return": (1.0, logistic("cagr", 0.1)), "risk_adjusted": (2.0, logistic("sharpe", 0.5)), "drawdown": (1.5, unit("1 + deep / 0.35")), "consistency": (1.0, "months"), "robustness": (1.5, "stab"), "oos": (2.0, logistic("oos_sharpe", 0.5)), "walk_forward": (1.5, unit("eff")),
+        "monte_carlo": (1.0, f"CASE WHEN p5 > 0 THEN 1.0 ELSE {logistic('p5', 0.1)} END"), "complexity": (0.5, unit("1 - complexity / 15")), "trade_count": (0.5, unit("n / 100")), "regime_stability": (1.0, "regimes"),
+    }
+    gates = {"beats_baselines": "best IS NOT NULL AND NOT sharpe > best", "max_drawdown": "deep < -0.35", "min_trades": "n < 30", "oos_positive": "NOT coalesce(oos_return > 0, false)", "overfit_risk": "risk > 0.6", "walk_forward": "walked AND NOT coalesce(eff >= 0.3, false)"}
+    failed = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in gates.items())
+    return f"""WITH {runs}, a AS (SELECT *, {_mean_sql(risk, 'risk')}, {_mean_sql(merit, 'raw_score')} FROM r), b AS (SELECT *, concat_ws(', ', {failed}) AS failed_gates FROM a)
+        SELECT run_id, round(risk, 6) + 0.0 AS risk, CASE WHEN risk >= 0.6 THEN 'HIGH' WHEN risk >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS level, risk_missing AS risk_unknown, round(raw_score, 6) + 0.0 AS raw_score, raw_score_missing AS unknown,
+          round(raw_score * (1 - risk), 6) + 0.0 AS score, failed_gates, CASE WHEN failed_gates = '' THEN 'CANDIDATE' ELSE 'REJECTED' END AS decision FROM b"""
+
+
 ORACLES = {
+    "strategy_scores": _score_sql(),
+    "walk_forward_summary": """WITH f AS (SELECT s_nationkey::VARCHAR AS run_id, s_suppkey AS fold, s_suppkey % 9 <> 0 AS ok, s_suppkey % 3 AS params, s_acctbal / 5000 AS tr, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 9000 END AS te, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal / 100000 - 0.03 ELSE 0 END AS g FROM supplier),
+        d AS (SELECT *, product(1 + g) OVER (w ROWS UNBOUNDED PRECEDING) AS level, params <> lag(params) OVER w AS moved FROM f WHERE ok WINDOW w AS (PARTITION BY run_id ORDER BY fold)),
+        p AS (SELECT *, greatest(1, max(level) OVER (PARTITION BY run_id ORDER BY fold ROWS UNBOUNDED PRECEDING)) AS peak FROM d),
+        s AS (SELECT run_id, count(*) AS n_ok, avg(tr) AS a, avg(te) AS b, avg((g > 0)::INT) AS won, coalesce(sum(moved::INT), 0)::BIGINT AS param_changes, arg_max(level, fold) - 1 AS total, min(level / peak - 1) AS deep FROM p GROUP BY run_id)
+        SELECT run_id, n_folds, coalesce(n_ok, 0) AS n_ok, round(a, 6) + 0.0 AS mean_train_sharpe, round(b, 6) + 0.0 AS mean_test_sharpe, round(won, 6) + 0.0 AS pct_profitable_folds, param_changes, round(total, 6) + 0.0 AS stitched_total_return, round(deep, 6) + 0.0 AS stitched_drawdown,
+          round(CASE WHEN a > 0 THEN b / a END, 6) + 0.0 AS wf_efficiency FROM (SELECT run_id, count(*) AS n_folds FROM f GROUP BY run_id) LEFT JOIN s USING (run_id)""",
     "metrics_equity": f"""WITH {_EQUITY}, {_EPISODES}, {_RET}, a AS (SELECT run_id, count(*) AS n_bars, arg_min(equity, ts) AS f, arg_max(equity, ts) AS l, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(least(r, 0) ** 2)) AS down, avg((gross_exposure > 0)::INT) AS exposure, avg(gross_exposure) AS gross FROM ret GROUP BY run_id),
         b AS (SELECT *, (l / f) ** (252.0 / n_bars) - 1 AS cagr, down * sqrt(252) AS dn FROM a JOIN ds USING (run_id))
         SELECT run_id, n_bars, false AS insufficient_data, {', '.join(f'round({e}, 5) + 0.0 AS {k}' for k, e in {'total_return': 'l / f - 1', 'cagr': 'cagr', 'annualized_return': 'mean * 252', 'volatility': 'sd * sqrt(252)', 'sharpe': 'mean / sd * sqrt(252)', 'sortino': 'mean * 252 / dn', 'max_drawdown': 'mdd', 'avg_drawdown': 'avg_dd', 'calmar': 'cagr / abs(mdd)', 'exposure': 'exposure', 'avg_gross_exposure': 'gross'}.items())}, rec AS max_recovery_bars, unrec AS unrecovered_at_end FROM b""",
