@@ -18,7 +18,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     groups are broadcast while their bytes allow; beyond, they go in parts by a hash of `spread`.  All others are joined by shuffle.
     """
     limit = min(MOST, max(LEAST, total // SHARE))
-    hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    # by shuffle also where Spark would broadcast: what is cold grows with the input
+    hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit).hint("merge")
     held = hot.agg(F.sum(width)).first()[0]
     if held is None:
         return rows.join(cold, keys)
