@@ -250,12 +250,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     counts = links.where("a = b").groupBy(F.col("a").alias("sig")).agg(F.sum("n_links").alias("n_links"))
     named = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    verdict = named.join(firsts, "component").join(counts, "sig", "left").select("sig", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    verdict = named.join(firsts, "component").join(counts, "sig", "left").select("sig", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     alone = F.col("n_shingles") == 0
     return _by_sig(rows.where(~alone), verdict).unionByName(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _by_sig(rows: DataFrame, verdict: DataFrame) -> DataFrame:
     """Each row with its set's verdict."""
-    sized = cut(verdict.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_rows")), "sig"))
-    return join_groups(rows, sized, ["sig"], "_rows", rows.count(), F.col("doc_id"), F.lit(48)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return join_groups(rows, cut(verdict), ["sig"], "copies", rows.count(), F.col("doc_id"), F.lit(48)).select("doc_id", "n_shingles", "component_id", "n_links")
