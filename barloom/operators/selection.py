@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import by_symbol, ratio
+from ..plans.state import cut
 
 
 def forward_return(bars: DataFrame, horizon: int = 1) -> DataFrame:
@@ -61,7 +62,7 @@ def _long(rows: DataFrame, features: list[str], label: str, *keep: str) -> DataF
 
 def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups: tuple[str, ...] = (), least: int = 30) -> DataFrame:
     """feature (per groups), n, ic: Spearman correlation with the label; NULL under `least` observations."""
-    long = _long(rows, features, label, *groups)
+    long = cut(_long(rows, features, label, *groups))
     key = [*groups, "feature"]
     ranked = _ranked(long, {"rx": "x", "ry": "y"}, key)
     return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
@@ -69,9 +70,9 @@ def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups:
 
 def ic_stability(rows: DataFrame, features: list[str], label: str = "label", chunks: int = 5) -> DataFrame:
     """feature, ic_mean, ic_sd, sign_consistency over contiguous chunks of time; the first chunks are one longer."""
-    long = _long(rows, features, label, "symbol", "ts")
+    long = cut(_long(rows, features, label, "symbol", "ts"))
     key = ["feature", "chunk"]
-    ranked = _ranked(_chunked(long, ["feature"], "ts", "symbol", chunks), {"rx": "x", "ry": "y"}, key)
+    ranked = _ranked(cut(_chunked(long, ["feature"], "ts", "symbol", chunks)), {"rx": "x", "ry": "y"}, key)
     per = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).where("n >= 30 and ic is not null")
     return per.groupBy("feature").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), F.greatest(F.avg((F.col("ic") > 0).cast("double")), F.avg((F.col("ic") < 0).cast("double"))).alias("sign_consistency"))
 
@@ -79,7 +80,7 @@ def ic_stability(rows: DataFrame, features: list[str], label: str = "label", chu
 def redundancy(rows: DataFrame, features: list[str], threshold: float = 0.9) -> DataFrame:
     """a, b, rho of feature pairs whose rank correlation is at least threshold either way, strongest first."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in combinations(sorted(features), 2)]))
-    long = rows.select(pairs.alias("p")).select("p.*").where("x is not null and y is not null")
+    long = cut(rows.select(pairs.alias("p")).select("p.*").where("x is not null and y is not null"))
     ranked = _ranked(long, {"rx": "x", "ry": "y"}, ["a", "b"])
     return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho")).where(F.abs("rho") >= threshold).orderBy(F.abs("rho").desc(), "a", "b")
 
