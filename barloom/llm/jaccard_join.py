@@ -8,10 +8,12 @@ sets.  A piece is kept folded, as the XOR of codes of its set bits.
 Sets of n and n' <= n shingles with similarity t or more have D <= (n + n') (1-t)/(1+t).  Sizes fall
 into bands that double; a set joins in its own band and, if a smaller partner may lie there, in the
 one below, where both have the same `m`.  Of the q non-empty pieces of a set, at least q - D are
-equal to those of any partner (pigeonhole).  Hence:
+equal to those of any partner (pigeonhole).  The first band has a piece for each shingle, of which a
+set of n shares n t or more with any partner; so has any band in which some set's q does not exceed its D.  With
+`need` for what must be shared:
 
-1. pieces that only one set has are dropped; a set with fewer than q - D others has no partner;
-2. of its c others it need only join on the c - (q - D) + 1 rarest;
+1. pieces that only one set has are dropped; a set with fewer than `need` others has no partner;
+2. of its c others it need only join on the c - need + 1 rarest;
 3. what is joined that way, directly or through others, forms a block, which holds all links of its sets;
 4. in a block, sets are compared exactly (shared shingles by sparse counting).  A block of more
    than `_CELL` sets is split, and each pair of its parts is a task of its own, so no task holds a whole group.
@@ -50,13 +52,18 @@ def _bands(n: int, share: float) -> list[int]:
     return list(range(low, own + 1))
 
 
-def _pieces(shingles: np.ndarray, band: int, share: float) -> tuple[np.ndarray, int]:
-    """The non-empty folded pieces of a set in a band, and the most D that a pair has there."""
+def _plain(shingles: np.ndarray, band: int, share: float) -> tuple[np.ndarray, int]:
+    """A piece for each shingle of a set in a band, and how many of them a partner shares at least."""
+    return mix(mix(shingles ^ _CODE) ^ U64(band)), max(1, int(np.ceil(len(shingles) * share - 1e-9)))
+
+
+def _pieces(shingles: np.ndarray, band: int, share: float, per_size: float) -> tuple[np.ndarray, int]:
+    """The non-empty folded pieces of a set in a band, and how many of them a partner shares at least; below 1 they promise nothing."""
+    if not band:
+        return _plain(shingles, band, share)
     n, top = len(shingles), _FIRST_BAND << band
     most = int((n + (n / share if n < top else top - 1)) * (1 - share) / (1 + share) + 1e-9)
-    if not band:
-        return mix(shingles ^ _CODE), most
-    m = max(1, int(_PIECES_PER_SIZE * top))
+    m = max(1, int(per_size * top))
     piece = ((shingles >> U64(32)) * U64(m)) >> U64(32)
     bit = mix(shingles ^ _CODE) & U64(0xFFFF)
     flips = piece * U64(0x10000) + bit
@@ -66,26 +73,30 @@ def _pieces(shingles: np.ndarray, band: int, share: float) -> tuple[np.ndarray,
     times = np.diff(np.concatenate([np.flatnonzero(new), [n]]))
     on = flips[new][times % 2 == 1]  # a bit flipped twice is off again
     if not len(on):
-        return np.zeros(0, U64), most
+        return np.zeros(0, U64), -most
     at = on >> U64(16)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     folded = np.bitwise_xor.reduceat(mix(on * _CODE + U64(band)), starts)
-    return mix(folded ^ (at[starts] << U64(8)) ^ U64(band)), most
+    return mix(folded ^ (at[starts] << U64(8)) ^ U64(band)), len(folded) - most
+
 
+def _describe(width: int, share: float, per_size: float, more: list[str]):
+    """doc_id, n_shingles and sig of each row, and a bit for each band in which its folded pieces promise nothing."""
+    def weak(s: np.ndarray) -> int:
+        return sum(1 << band for band in _bands(len(s), share) if band and _pieces(s, band, share, per_size)[1] < 1) if len(s) else 0
 
-def _describe(width: int):
-    """doc_id, n_shingles and sig of each row."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "sig"])
+                found = [[len(s) for s in sets], [_signature(s) for s in sets], [weak(s) for s in sets]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in found), *(part.column(c) for c in more)], ["doc_id", "n_shingles", "sig", "weak", *more])
 
     return run
 
 
-def _send(width: int, share: float, parts: int):
-    """Each piece of each distinct set of a slice, packed by hash range: (part, head, pieces)."""
+def _send(width: int, share: float, per_size: float, weak: int, parts: int):
+    """Each piece of each distinct set of a slice, packed by hash range: (part, head, pieces); bands with a bit in `weak` have a piece for each shingle."""
     def run(batches):
         for batch in batches:
             for rows in slices(batch, "text"):
@@ -93,10 +104,10 @@ def _send(width: int, share: float, parts: int):
                 sigs, need, size, keys = [], [], [], []
                 for sig, s in sets.items():
                     for band in _bands(len(s), share):
-                        got, most = _pieces(s, band, share)
+                        got, shared = _plain(s, band, share) if weak >> band & 1 else _pieces(s, band, share, per_size)
                         sigs.append(sig)
                         size.append(band)
-                        need.append(max(1, len(got) - most))
+                        need.append(shared)
                         keys.append(got)
                 if not keys:
                     continue
@@ -212,7 +223,7 @@ def _sets(width: int):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, pieces_per_size: float = _PIECES_PER_SIZE, detail: bool = False) -> DataFrame:
     """Join rows whose sets of distinct `width`-word shingles have a Jaccard similarity of `similarity` or more.
 
     One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that
@@ -221,13 +232,21 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     links with nothing.  Rows with equal sets link.  Rows that repeat a doc_id are told apart; a null
     doc_id counts as larger than any other, and is the component_id only of a group that has no other.  Whole texts are
     read, of any length; an empty table gives no rows.  Other columns are ignored.
+
+    `similarity` counts to three decimals.  With `detail`, two more columns: text_hash (xxhash64 of the text, to tell rows that repeat a
+    doc_id) and group_id (the same for linked rows, another for each group; null for an empty set).
     """
+    share = round(similarity * 1000) / 1000
     n = partitions(docs.sparkSession, docs)
     texts = docs.select("doc_id", "text")
-    rows = cut(texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, sig long"))
+    more = ["text_hash"] if detail else []
+    described = texts.withColumn("text_hash", F.xxhash64("text")) if detail else texts
+    kinds = "".join(f", {c} long" for c in more)
+    rows = cut(described.mapInArrow(_describe(width, share, pieces_per_size, more), f"doc_id long, n_shingles long, sig long, weak long{kinds}"))
+    weak = rows.agg(F.bit_or("weak")).first()[0] or 0  # one number: sizes have under 64 bands
     classes = rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
-    sent = texts.mapInArrow(_send(width, similarity, n), "part int, head binary, pieces binary")
+    sent = texts.mapInArrow(_send(width, share, pieces_per_size, weak, n), "part int, head binary, pieces binary")
     shared = sent.groupBy("part").applyInArrow(_shared_pieces, "sig long, band int, need int, piece long, n_sets long")
     own = Window.partitionBy("sig", "band")
     ranked = shared.select("*", F.count(F.lit(1)).over(own).alias("c"), F.row_number().over(own.orderBy("n_sets", "piece")).alias("at"))
@@ -244,17 +263,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sets = found.mapInArrow(_sets(width), "sig long, copies long, block long, part int, parts int, shingles binary")
     cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "copies", "block", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "shingles")
     cells = cells.withColumn("bundle", F.pmod(F.xxhash64("block", "i", "j"), F.lit(4 * n)))
-    links = cut(cells.groupBy("bundle").applyInArrow(_compare(similarity), "a long, b long, n_links long"))
+    links = cut(cells.groupBy("bundle").applyInArrow(_compare(share), "a long, b long, n_links long"))
 
     linked = components(links.where("a <> b").select("a", "b"))
     counts = links.where("a = b").groupBy(F.col("a").alias("sig")).agg(F.sum("n_links").alias("n_links"))
     named = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    verdict = named.join(firsts, "component").join(counts, "sig", "left").select("sig", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    verdict = named.join(firsts, "component").join(counts, "sig", "left").select("sig", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", *([F.col("component").alias("group_id")] if detail else []))
     alone = F.col("n_shingles") == 0
-    return _by_sig(rows.where(~alone), verdict).unionByName(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    columns = ["doc_id", "n_shingles", "component_id", "n_links", *more, *(["group_id"] if detail else [])]
+    nothing = F.lit(None).cast("long")
+    empty = rows.where(alone).withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), **({"group_id": nothing} if detail else {})})
+    return _by_sig(rows.where(~alone), verdict).select(*columns).unionByName(empty.select(*columns))
 
 
 def _by_sig(rows: DataFrame, verdict: DataFrame) -> DataFrame:
     """Each row with its set's verdict."""
-    return join_groups(rows, cut(verdict), ["sig"], "copies", rows.count(), F.col("doc_id"), F.lit(48)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return join_groups(rows, cut(verdict), ["sig"], "copies", rows.count(), F.col("doc_id"), F.lit(48))

@@ -166,12 +166,12 @@ def held_out(doc_id: Column, of: int, is_: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == is_
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, more: tuple[str, ...] = ()) -> DataFrame:
     """Label docs (doc_id, text): doc_id, lang_pred, score, spans (start and end word, lang).
 
     Words are runs of letters.  lang_pred is the language of most letters on the best path, score its share of
     letters times its odds against the runner-up on its own words.  A null text, one without a letter, or a model
-    without languages gives `und`, 0 and no spans.  Rows are labelled one by one, so repeated rows agree; other columns are ignored.
+    without languages gives `und`, 0 and no spans.  Rows are labelled one by one, so repeated rows agree; of other columns, those named in `more` come along.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 256 KB
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -180,7 +180,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 langs, scores, spans = shared.value.predict(part.column("text").to_pylist(), penalty)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64()), pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x] for x in spans], span)], ["doc_id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64()), pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x] for x in spans], span), *(part.column(c) for c in more)], ["doc_id", "lang_pred", "score", "spans", *more])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    kind, *kinds = (docs.schema[c].dataType.simpleString() for c in ("doc_id", *more))
+    carried = "".join(f", `{c}` {k}" for c, k in zip(more, kinds, strict=True))
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>{carried}")

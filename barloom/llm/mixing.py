@@ -47,16 +47,16 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return rows.withColumn("target", F.coalesce(level * F.col("weight"), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bins: int = 1024, size: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bins: int = 1024, size: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
     docs: doc_id, source, text; size names a column of word counts to use instead of counting.  quality: doc_id, weight > 0, one row per doc_id; others weigh 1.
     One row per row of docs: doc_id, size, source, source_size, target, taken, a multiple of size.
     A source's taken words are within half a document of its target, when that document's words straddle it.
     A null text has no words; a null source is a source; rows that repeat a doc_id have the
-    same key and are drawn one after the other.  An empty table gives no rows, a source without words a target of 0.
+    same key and are drawn one after the other, by size, then by the columns of docs named in `more`, which come along.  An empty table gives no rows, a source without words a target of 0.
     """
-    rows = docs.select("doc_id", "source", (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("size"))
+    rows = docs.select("doc_id", "source", (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("size"), *more)
     if quality is not None:
         rows = rows.join(quality.select(F.col("doc_id"), F.col("weight").alias("quality_weight")), "doc_id", "left")
     else:
@@ -70,11 +70,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     plan = by_bin.withColumn("before", F.sum("bin_size").over(earlier) - F.col("bin_size")).withColumnRenamed("source", "s").withColumnRenamed("bin", "b")
     plan = plan.join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-    inside = Window.partitionBy("s", "b").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("s", "b").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *more).rowsBetween(Window.unboundedPreceding, 0)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     joined = joined.withColumn("epochs", epochs).withColumn("upto", F.col("before") + F.sum("size").over(inside))
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     # a document is drawn if at least half of it lies within the budget
     drawn = F.col("upto") - F.col("size") / 2 <= budget
     taken = (F.col("epochs") + F.when(drawn & (budget > 0), 1).otherwise(0)) * F.col("size")
-    return joined.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *more)

@@ -117,6 +117,41 @@ def test_split_blocks(spark, monkeypatch):
     assert got == sorted(brute.similar(ROWS), key=repr)
 
 
+@pytest.mark.parametrize("per_size", [0.02, 0.15])
+def test_bands_whose_pieces_promise_nothing(spark, per_size):
+    """With too few pieces for its differences, a band gets a piece for each shingle, and no link is lost."""
+    rng = random.Random(9)
+    rows = []
+    for size in (90, 97, 130, 190, 200, 390, 800):
+        for _ in range(4):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(size + 4)]
+            for k in range(4):
+                copy = list(words)
+                for _ in range(k * size // 60):
+                    copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(copy[rng.randrange(0, size // 6) :])))
+    got = brute.as_rows(similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), pieces_per_size=per_size), ["doc_id", "n_shingles", "component_id", "n_links"])
+    assert got == sorted(brute.similar(rows), key=repr) and any(r[3] for r in got)
+
+
+def test_lower_similarity(spark):
+    """A partner may hold more other shingles than shared ones."""
+    rows = [(0, " ".join(f"w{k}" for k in range(60))), (1, " ".join(f"w{k}" for k in range(30))), (2, " ".join(f"w{k}" for k in range(20, 60))), (3, " ".join(f"w{k}" for k in range(300))), (4, " ".join(f"w{k}" for k in range(130)))]
+    for percent in (40, 50, 70):
+        got = brute.as_rows(similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=percent / 100), ["doc_id", "n_shingles", "component_id", "n_links"])
+        assert got == sorted(brute.similar(rows, percent=percent), key=repr)
+
+
+def test_groups_in_detail(odd):
+    rows = similar_groups(odd, detail=True).collect()
+    assert all((r.group_id is None) == (r.n_shingles == 0) for r in rows)
+    groups = {}
+    for r in rows:
+        assert r.group_id is None or groups.setdefault(r.group_id, r.component_id) == r.component_id
+    wanted = [c for _, n, c, _ in brute.similar(ROWS) if n]
+    assert len(groups) >= len(set(wanted))
+
+
 def test_empty_tables(none):
     assert exact_groups(none).count() == remove_repeats(none).count() == similar_groups(none).count() == 0
 
