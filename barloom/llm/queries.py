@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import rotate
 from .decontaminate import leaks
 from .exact_dedup import exact_groups
+from .filter_audit import audit, text_failures
 from .html_extract import extract
 from .jaccard_join import similar_groups
 from .language_id import Model, held_out, identify
@@ -77,7 +78,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"), width=5, similarity=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(text_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "ABCDE", "part", ("good", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_filter_audit)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -132,4 +137,21 @@ ORACLES = {
         l AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
         FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    # every order is walked, document by document
+    "op11_filter_audit": f"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+                || (CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 3 * length(x) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END)
+                || (CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END) AS fails FROM t LEFT JOIN l USING (doc_id)),
+        c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM c a, c b, c d, c e, c g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+        w AS (SELECT part, good, toxic, fails, filter_order, list_min([instr(filter_order, y) FOR y IN string_split(fails, '')]) AS out_at FROM f, o),
+        s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter,
+                count(*) FILTER (WHERE fails = '' OR out_at > step) AS kept, count(*) FILTER (WHERE fails <> '' AND out_at = step) AS removed,
+                count(*) FILTER (WHERE contains(fails, substr(filter_order, step, 1)) AND out_at < step) AS redundant, count(*) FILTER (WHERE fails = substr(filter_order, step, 1)) AS unique_fails,
+                count(*) FILTER (WHERE fails <> '' AND out_at = step AND good) AS good_lost, count(*) FILTER (WHERE fails <> '' AND out_at = step AND toxic) AS toxic_lost
+              FROM w, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s""",
 }
