@@ -14,6 +14,7 @@ from .jaccard_join import similar_groups
 from .language_id import Model, held_out, identify
 from .lm_score import score
 from .mixing import mix
+from .packing import pack, pieces
 from .shared import bound_batches, shared_dir
 from .substring_dedup import remove_repeats
 from .token_store import TokenStore
@@ -82,7 +83,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(text_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "ABCDE", "part", ("good", "toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_filter_audit)}
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_filter_audit, op12_pack_sequences)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
