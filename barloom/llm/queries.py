@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import rotate
+from .collocations import mine
 from .decontaminate import leaks
 from .exact_dedup import exact_groups
 from .filter_audit import audit, text_failures
@@ -90,7 +91,11 @@ def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_filter_audit, op12_pack_sequences)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(_table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_html_extract, op3_mix_sources, op4_decontaminate, op5_language_id, op6_lm_score, op7_exact_dedup, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_filter_audit, op12_pack_sequences, op13_collocations)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -162,4 +167,18 @@ ORACLES = {
                 count(*) FILTER (WHERE fails <> '' AND out_at = step AND good) AS good_lost, count(*) FILTER (WHERE fails <> '' AND out_at = step AND toxic) AS toxic_lost
               FROM w, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY ALL)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s""",
+    "op13_collocations": f"""
+        WITH w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\x20\x09]+') AS w
+                   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+        f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+        cuts AS (SELECT lang, m, phrase, a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        parts AS (SELECT *, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS y FROM cuts),
+        scored AS (SELECT parts.*, p.a AS l, q.a AS r, n.n, (1000 * parts.a * n.n) // (p.a * q.a) AS score
+                   FROM parts JOIN f p ON p.lang = parts.lang AND p.phrase = x JOIN f q ON q.lang = parts.lang AND q.phrase = y JOIN n ON n.lang = parts.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = b.lang AND f.m > b.m AND 100 * f.a >= 100 * b.a AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' '))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }

@@ -36,5 +36,5 @@ def clashing(spark, odd):
     """The odd rows with further columns under names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = "grp digit rest sig part piece block copies h pos bin size key weight target taken s b upto before shard first nth n held_out base start end text_hash names odd nodes host quality_weight epochs run".split()
+    names = "grp digit rest sig part piece block copies h pos bin size key weight target taken s b upto before shard first nth n held_out base start end text_hash names odd nodes host quality_weight epochs run same first words good toxic part_ prompt pieces ids sequence_id phrase path trie rank score".split()
     return odd.withColumns({c: F.lit("clash") for c in names})
