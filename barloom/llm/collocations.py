@@ -1,6 +1,6 @@
 """Phrase collocations from depth-limited count tries.
 
-Each shard (some 16 MB of text) is a trie whose paths are its language, then up to five words of a piece of text, from every word on, with
+Each shard (some 8 MB of text) is a trie whose paths are its language, then up to five words of a piece of text, from every word on, with
 a count at each path's end.  Tries are written in sorted order, level by level, and cut at the bounds of prefix ranges; each
 range merges its share of all tries.  A node's count is the sum below it; only the nodes along a range's two edges
 can go on in a neighbour, so those leave as partial counts and all others already pruned.  What is left are the frequent phrases: a phrase's left parts are
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Bytes of text in a shard's trie, and in a range on average
-SHARD_BYTES = RANGE_BYTES = 16 << 20
+SHARD_BYTES = RANGE_BYTES = 8 << 20
 #: Words of which one starts a path that helps to choose the bounds; the bytes of a word that count there
 _EVERY, _HEAD = 256, 32
 _LOWER = np.arange(256, dtype=np.uint8)
