@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 from array import array
 
-#: Pieces that a worker remembers, about 80 MB; when full it starts anew, results are the same
-_MOST = 400_000
+#: Pieces that a worker remembers, about 200 MB; when full it starts anew, results are the same
+_MOST = 1_000_000
 _STOPS = frozenset(".,;:!?")
+#: Words up to this length, with a space and a stop, come often enough to be kept with their stop
+_SHORT = 8
 
 
 def _shown() -> dict[int, str]:
@@ -27,6 +29,7 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, code: str):
         self.tokenizer, self.code, self.tokenize, self.table = tokenizer, code, tokenizer.model.tokenize, _shown()
+        self.space = self.table[32]
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
@@ -35,9 +38,12 @@ class _Pieces(dict):
             self[""] = b""
         bare = piece[1:] if piece[0] == " " else piece
         if bare.isalpha():  # one piece to the pre-tokenizer too
-            got = array(self.code, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.table))]).tobytes()
-        elif bare and bare[-1] in _STOPS and bare[:-1].isalpha():
-            got = self[piece[:-1]] + self[bare[-1]] if len(bare) > 1 else self.whole(piece)
+            shown = piece.encode().decode("latin-1").translate(self.table) if not bare.isascii() else bare if bare is piece else self.space + bare
+            got = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        elif len(bare) > 1 and bare[-1] in _STOPS and bare[:-1].isalpha():
+            got = self[piece[:-1]] + self[bare[-1]]
+            if len(piece) > _SHORT:
+                return got  # its parts are kept
         else:
             got = self.whole(piece)
         self[piece] = got
@@ -74,11 +80,6 @@ class ByteEncoder:
         self.by_pieces = kind["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and kind["model"]["type"] == "BPE" and not kind["model"]["dropout"]
         self.added = [t["content"] for t in kind["added_tokens"]]
 
-    def forget(self) -> None:
-        """Give back the memory of what was remembered."""
-        self.pieces.clear()
-        self.pieces[""] = b""
-
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 

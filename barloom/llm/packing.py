@@ -33,7 +33,7 @@ class Packer:
     An example is packed ids, the first `free` of which bear no loss.  At most `waiting` examples are held, besides the one that comes.
     """
 
-    def __init__(self, limits: Limits, width: int, waiting: int = 512):
+    def __init__(self, limits: Limits, width: int, waiting: int = 256):
         if min(limits) < 1:
             raise ValueError(f"every limit must be 1 at least: {limits}")
         self.limits, self.width, self.waiting = limits, width, waiting
@@ -156,7 +156,6 @@ def _packed(tokenizer: str, end_id: int, limits: Limits, prompt: str | None, row
         full += packer.rest()
         if full:
             yield _batch(at, full, encoder.width, key)
-        encoder.forget()
 
     return run
 
