@@ -26,6 +26,14 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def correlation(x: Column, y: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of a group or frame, NULL where either side is constant (F.corr divides by zero there)."""
+    known = x.isNotNull() & y.isNotNull()
+    x, y = F.when(known, x), F.when(known, y)
+    cov, sx, sy = (c.over(over) if over is not None else c for c in (F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)))
+    return ratio(cov, sx * sy)
+
+
 def yes(cond: Column) -> Column:
     """cond with NULL as false."""
     return F.coalesce(cond, F.lit(False))

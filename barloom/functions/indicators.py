@@ -135,15 +135,15 @@ def relative_volume(n: int = 20) -> Column:
 def swings(s: Staged, k: int = 3) -> dict[str, Column]:
     """Pivots k bars back, known at this bar once k bars on both sides have passed; ties count as pivots."""
     w = 2 * k + 1
-    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    sides = {"high": (high(), F.max), "low": (low(), F.min)}
+    confirmed = {name: s.keep(yes(lag(col, k) == rolled(agg, col, w))) for name, (col, agg) in sides.items()}
+    last = dict(zip(sides, s.carry(*[F.when(confirmed[name], lag(col, k)) for name, (col, _) in sides.items()]), strict=True))
+    # a pivot's own predecessor is what the bar before its confirmation knew
+    own = [F.when(confirmed[name], F.struct(lag(last[name]).alias("p"))) for name in sides]
+    previous = dict(zip(sides, s.carry(*own), strict=True))
     out: dict[str, Column] = {}
-    for name, col, agg in (("high", high(), F.max), ("low", low(), F.min)):
-        confirmed = s.keep(yes(lag(col, k) == rolled(agg, col, w)))
-        pivot = s.keep(F.when(confirmed, lag(col, k)))
-        last = s.keep(F.last(pivot, ignorenulls=True).over(by_symbol()))
-        previous = s.keep(F.when(confirmed, F.last(pivot, ignorenulls=True).over(before)))
-        previous = s.keep(F.last(F.when(confirmed, F.struct(previous.alias("p"))), ignorenulls=True).over(by_symbol()))
-        out |= {f"{name}_confirmed": confirmed, f"last_{name}": last, f"higher_{name}": yes(last > previous.p), f"lower_{name}": yes(last < previous.p)}
+    for name in sides:
+        out |= {f"{name}_confirmed": confirmed[name], f"last_{name}": last[name], f"higher_{name}": yes(last[name] > previous[name].p), f"lower_{name}": yes(last[name] < previous[name].p)}
     out["structure"] = F.when(out["higher_high"] & out["higher_low"], 1.0).when(out["lower_high"] & out["lower_low"], -1.0).otherwise(0.0)
     return out
 

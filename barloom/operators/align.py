@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import clean_number
+from ..functions.slices import Slicing, carried, split, whole
 
 #: How long a bar of each intraday timeframe lasts
 DURATIONS = {"1h": "INTERVAL 1 HOUR", "4h": "INTERVAL 4 HOURS"}
@@ -62,19 +63,25 @@ def to_weeks(bars: DataFrame) -> DataFrame:
     return _fold(bars.withColumn("week", F.to_date(F.date_trunc("week", "ts"))), "week")
 
 
-def as_of_join(decisions: DataFrame, higher: DataFrame, columns: list[str], suffix: str = "_htf") -> DataFrame:
+def as_of_join(decisions: DataFrame, higher: DataFrame, columns: list[str], suffix: str = "_htf", slicing: Slicing | None = None) -> DataFrame:
     """To each decision (symbol, ts) the latest row of higher (symbol, ts, available_at) with available_at <= ts.
 
     Decisions and higher rows are put in one timeline per symbol and the last higher row is carried forward: one shuffle and
     sort, no range join.  Ties count as available; of rows available at once the later ts wins.  Rows without
     available_at are ignored; repeated decisions stay, each with its match.
+    With slicing, given here or in the session's settings, a symbol is many tasks: a slice of its timeline takes over the last row of those before it.
     """
     own = [c for c in decisions.columns if c not in ("symbol", "ts")]
     payload = F.struct(*[F.col(c).alias(c) for c in columns])
     left = decisions.select("symbol", F.col("ts").alias("_at"), F.lit(1).alias("_side"), F.col("ts").alias("_then"), F.struct(*([F.col(c) for c in own] or [F.lit(0).alias("_none")])).alias("_own"), F.lit(None).cast(higher.select(payload).schema[0].dataType).alias("_value"))
     right = higher.where("available_at is not null").select("symbol", F.col("available_at").alias("_at"), F.lit(0).alias("_side"), F.col("ts").alias("_then"), F.lit(None).cast(left.schema["_own"].dataType).alias("_own"), payload.alias("_value"))
-    line = Window.partitionBy("symbol").orderBy("_at", "_side", "_then").rowsBetween(Window.unboundedPreceding, 0)
-    joined = left.unionByName(right).withColumn("_value", F.last("_value", ignorenulls=True).over(line)).where("_side = 1")
+    both = left.unionByName(right)
+    slicing = slicing or Slicing.of(decisions.sparkSession)
+    if slicing:
+        joined = whole(carried(split(both, slicing, time="_at"), ["_value"], ["_at", "_side", "_then"])).where("_side = 1")
+    else:
+        line = Window.partitionBy("symbol").orderBy("_at", "_side", "_then").rowsBetween(Window.unboundedPreceding, 0)
+        joined = both.withColumn("_value", F.last("_value", ignorenulls=True).over(line)).where("_side = 1")
     return joined.select("symbol", F.col("_at").alias("ts"), *[F.col(f"_own.{c}").alias(c) for c in own], *[F.col(f"_value.{c}").alias(c + suffix) for c in columns])
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import by_symbol, ratio
+from ..functions.common import by_symbol, correlation, ratio
 from ..plans.state import cut
 
 
@@ -17,41 +17,64 @@ def forward_return(bars: DataFrame, horizon: int = 1) -> DataFrame:
     return bars.withColumn("label", ratio(F.lead("close", horizon).over(by_symbol()), F.col("close")) - 1)
 
 
-#: Parts that a key's rows are dealt into, by value, before they are ranked
+#: Parts that a key's values are dealt into, by value, before they are summed up
 PARTS = 128
+#: Rows up to which each key is ranked by one window.  Beyond, values are counted first, and parts of them summed: results are the same
+ONE_WINDOW = 2_000_000
+#: A value is hot above this share of all rows, so there are at most so many of them; hot values' ranks are broadcast
+HOT = 4096
 
 
-def _placed(rows: DataFrame, value: str, key: list[str]) -> DataFrame:
-    """rows with _part, which ascends in value within a key, _before, the rows of lower parts, and _all, the key's rows.
+def _placed(counts: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """counts (key, value, _n) with _part, which ascends in value within a key, _before, the rows of lower parts, and _all, the key's rows.
 
-    Parts are cut at approximate quantiles, so no task orders a key's whole history; equal values share a part.
+    Parts are cut at approximate quantiles, so no task orders a key's whole history.
     """
-    edges = rows.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 1000).alias("_edges"))
-    dealt = rows.join(edges, key).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    sizes = dealt.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    line = Window.partitionBy(*key).orderBy("_part")
-    before = (F.sum("_n").over(line) - F.col("_n")).alias("_before")
-    return dealt.join(sizes.select(*key, "_part", before, F.sum("_n").over(Window.partitionBy(*key)).alias("_all")), [*key, "_part"])
+    edges = counts.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), 1000).alias("_edges"))
+    dealt = counts.join(edges, key).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    sizes = dealt.groupBy(*key, "_part").agg(F.sum("_n").alias("_rows"))
+    before = (F.sum("_rows").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_rows")).alias("_before")
+    return dealt.join(sizes.select(*key, "_part", before, F.sum("_rows").over(Window.partitionBy(*key)).alias("_all")), [*key, "_part"])
 
 
-def _ranked(rows: DataFrame, ranks: dict[str, str], key: list[str]) -> DataFrame:
+def counted(rows: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """One row for each value of a key, with _n, its rows, _upto, the rows up to it, and _all: a flag is two rows, however many there are of it."""
+    placed = _placed(rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n")), value, key)
+    inside = Window.partitionBy(*key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).drop("_part", "_before")
+
+
+def _met(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the columns of table (_n and others, by value): hot values by broadcast, the others by shuffle."""
+    table = cut(table)
+    limit = total // HOT
+    known = rows.join(F.broadcast(table.where(F.col("_n") > limit)), on, "left")
+    cold = known.where("_n is null").select(rows.columns).join(table.where(F.col("_n") <= limit).hint("merge"), on)
+    return known.where("_n is not null").unionByName(cold)
+
+
+def _ranked(rows: DataFrame, ranks: dict[str, str], key: list[str], total: int) -> DataFrame:
     """rows with a column of ranks within key for each value, ties at their mean."""
     for out, value in ranks.items():
-        placed = _placed(rows, value, key)
-        inside = Window.partitionBy(*key, "_part").orderBy(value)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*key, "_part", value))
-        rows = placed.withColumn(out, F.col("_before") + F.rank().over(inside) + (ties - 1) / 2.0).drop("_part", "_before", "_all")
+        if total <= ONE_WINDOW:
+            ties = F.count(F.lit(1)).over(Window.partitionBy(*key, value))
+            rows = rows.withColumn(out, F.rank().over(Window.partitionBy(*key).orderBy(value)) + (ties - 1) / 2.0)
+        else:
+            table = counted(rows, value, key).select(*key, value, "_n", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+            rows = _met(rows, table, [*key, value], total).drop("_n")
     return rows
 
 
-def _chunked(rows: DataFrame, key: list[str], time: str, tie: str, chunks: int) -> DataFrame:
+def _chunked(rows: DataFrame, key: list[str], time: str, tie: str, chunks: int, total: int) -> DataFrame:
     """rows with chunk, 1 to chunks: runs of time of equal size, of which the first are one longer."""
-    placed = _placed(rows, time, key)
-    at = F.col("_before") + F.row_number().over(Window.partitionBy(*key, "_part").orderBy(time, tie))
+    if total <= ONE_WINDOW:
+        return rows.withColumn("chunk", F.ntile(chunks).over(Window.partitionBy(*key).orderBy(time, tie)))
+    placed = _met(rows, counted(rows, time, key), [*key, time], total)
+    at = F.col("_upto") - F.col("_n") + F.row_number().over(Window.partitionBy(*key, time).orderBy(tie))
     base = F.floor(F.col("_all") / chunks)
     longer = (F.col("_all") % chunks) * (base + 1)
     chunk = F.when(at <= longer, F.ceil(at / (base + 1))).otherwise(F.col("_all") % chunks + F.ceil((at - longer) / F.greatest(base, F.lit(1))))
-    return placed.withColumn("chunk", chunk.cast("int")).drop("_part", "_before", "_all")
+    return placed.withColumn("chunk", chunk.cast("int")).drop("_n", "_upto", "_all")
 
 
 def _long(rows: DataFrame, features: list[str], label: str, *keep: str) -> DataFrame:
@@ -64,16 +87,16 @@ def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups:
     """feature (per groups), n, ic: Spearman correlation with the label; NULL under `least` observations."""
     long = cut(_long(rows, features, label, *groups))
     key = [*groups, "feature"]
-    ranked = _ranked(long, {"rx": "x", "ry": "y"}, key)
-    return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+    ranked = _ranked(long, {"rx": "x", "ry": "y"}, key, long.count())
+    return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
 def ic_stability(rows: DataFrame, features: list[str], label: str = "label", chunks: int = 5) -> DataFrame:
     """feature, ic_mean, ic_sd, sign_consistency over contiguous chunks of time; the first chunks are one longer."""
     long = cut(_long(rows, features, label, "symbol", "ts"))
-    key = ["feature", "chunk"]
-    ranked = _ranked(cut(_chunked(long, ["feature"], "ts", "symbol", chunks)), {"rx": "x", "ry": "y"}, key)
-    per = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic")).where("n >= 30 and ic is not null")
+    key, total = ["feature", "chunk"], long.count()
+    ranked = _ranked(_chunked(long, ["feature"], "ts", "symbol", chunks, total), {"rx": "x", "ry": "y"}, key, total)
+    per = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic")).where("n >= 30 and ic is not null")
     return per.groupBy("feature").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), F.greatest(F.avg((F.col("ic") > 0).cast("double")), F.avg((F.col("ic") < 0).cast("double"))).alias("sign_consistency"))
 
 
@@ -81,8 +104,8 @@ def redundancy(rows: DataFrame, features: list[str], threshold: float = 0.9) ->
     """a, b, rho of feature pairs whose rank correlation is at least threshold either way, strongest first."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in combinations(sorted(features), 2)]))
     long = cut(rows.select(pairs.alias("p")).select("p.*").where("x is not null and y is not null"))
-    ranked = _ranked(long, {"rx": "x", "ry": "y"}, ["a", "b"])
-    return ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho")).where(F.abs("rho") >= threshold).orderBy(F.abs("rho").desc(), "a", "b")
+    ranked = _ranked(long, {"rx": "x", "ry": "y"}, ["a", "b"], long.count())
+    return ranked.groupBy("a", "b").agg(correlation(F.col("rx"), F.col("ry")).alias("rho")).where(F.abs("rho") >= threshold).orderBy(F.abs("rho").desc(), "a", "b")
 
 
 def ridge(rows: DataFrame, features: list[str], label: str = "label", penalty: float = 1.0) -> dict:

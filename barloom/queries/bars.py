@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.slices import Slicing
 from ..operators import align
 from ..operators.quality import Limits, validate
 from ..sources import bars as src
@@ -101,11 +102,16 @@ def resample_weekly(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(align.to_weeks(src.order_bars(spark, sf)))
 
 
-def asof_join(spark: SparkSession, sf: str) -> DataFrame:
+def asof_join(spark: SparkSession, sf: str, slicing: Slicing | None = None) -> DataFrame:
     """Each daily bar with the latest week that had closed."""
     daily = src.order_bars(spark, sf).select("symbol", F.expr("ts + interval 21 hours").alias("ts"), "close")
     weekly = align.with_availability(align.to_weeks(src.order_bars(spark, sf)), weekday_calendar(spark, *CALENDAR_SPAN), "1w")
-    return tidy(align.as_of_join(daily, weekly, ["close", "volume"], "_week"))
+    return tidy(align.as_of_join(daily, weekly, ["close", "volume"], "_week", slicing))
+
+
+def asof_join_sliced(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with every symbol's timeline in slices of a month or two."""
+    return asof_join(spark, sf, Slicing(30, "month"))
 
 
 def _actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,7 +212,7 @@ def quality_short_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bars_daily, bars_daily_nation, bars_hourly, bars_shipments, bars_in_range, canonical_bars, symbols_with_prices, calendar_sessions, available_daily, available_weekly, available_hourly, resample_4h,
-    resample_weekly, asof_join, adjust_splits, adjust_total, universe_at, facts_as_of, news_in_window, macro_vintages, upsert_actions, insert_if_absent, quality_issues, quality_clean, quality_short_sessions,
+    resample_weekly, asof_join, asof_join_sliced, adjust_splits, adjust_total, universe_at, facts_as_of, news_in_window, macro_vintages, upsert_actions, insert_if_absent, quality_issues, quality_clean, quality_short_sessions,
     stored_bars, exchange_sessions, universe_history,
 )}
 
@@ -279,3 +285,4 @@ ORACLES = {
           UNION ALL SELECT symbol, 'SHORT_SESSIONS', 'INFO', min(ts) FROM c GROUP BY symbol, ts::DATE HAVING count(*) < 4)
         SELECT symbol, code, severity, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM iss GROUP BY ALL""",
 }
+ORACLES["asof_join_sliced"] = ORACLES["asof_join"]

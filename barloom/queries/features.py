@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions.features import compute, feature
+from ..functions.slices import Slicing
 from ..functions.staged import Staged
 from ..operators import regime, selection
 from ..plans.strategy import Condition, Stop, Strategy, TakeProfit, decide, feat, val
@@ -27,11 +28,11 @@ def _lag(x: str, n: int = 1) -> str:
     return f"lag({x}, {n}) OVER ({_W})"
 
 
-def _features(spark: SparkSession, sf: str, *names: str, **one) -> DataFrame:
+def _features(spark: SparkSession, sf: str, *names: str, slicing: Slicing | None = None, places: int = 6) -> DataFrame:
     """Features by name, in columns named by the feature."""
     wanted = [feature(n) for n in names]
-    got = compute(src.order_bars(spark, sf), wanted)
-    return tidy(got.select("symbol", "ts", *[f.column.alias(f.name) for f in wanted]))
+    got = compute(src.order_bars(spark, sf), wanted, slicing=slicing)
+    return tidy(got.select("symbol", "ts", *[f.column.alias(f.name) for f in wanted]), places)
 
 
 def _sql(columns: dict[str, str], stages: list[dict[str, str]] | None = None, bars: str = BARS) -> str:
@@ -97,7 +98,28 @@ def features_relative(spark, sf):
 
 def features_recurrence(spark, sf):
     """The ten running features, in one pass."""
-    return _features(spark, sf, "ema", "dist_ema", "rsi", "macd_hist", "atr", "atr_pct", "adx", "di_diff", "supertrend_dir", "keltner_pos")
+    return _features(spark, sf, "ema", "dist_ema", "rsi", "macd_hist", "atr", "atr_pct", "adx", "di_diff", "supertrend_dir", "keltner_pos", places=_PLACES)
+
+
+#: Sums in blocks differ from sums bar by bar in the last digits, and prices here have six before the point
+_PLACES = 4
+#: Whole months, until there are this many bars: some 17 slices a symbol at sf0.01
+_SLICES = Slicing(100, "month")
+
+
+def features_recurrence_sliced(spark, sf):
+    """The ten running features, with every symbol's history in slices: states are folded along them."""
+    return _features(spark, sf, "ema", "dist_ema", "rsi", "macd_hist", "atr", "atr_pct", "adx", "di_diff", "supertrend_dir", "keltner_pos", slicing=_SLICES, places=_PLACES)
+
+
+def features_structure_sliced(spark, sf):
+    """Pivots carried over slices, and trailing windows over a halo."""
+    return _features(spark, sf, "structure", "dist_resistance", "dist_support", "breakout_up", "breakout_down", "pullback", slicing=_SLICES)
+
+
+def features_returns_sliced(spark, sf):
+    """Trailing windows of a year, longer than many slices."""
+    return _features(spark, sf, "ret", "log_ret", "drawdown", "gap", "gap_abs_mean", slicing=_SLICES)
 
 
 def indicators_session_vwap(spark, sf):
@@ -174,7 +196,7 @@ def feature_ridge(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    features_trend, features_momentum, features_volatility, features_volume, features_returns, features_structure, features_price_action, features_relative, features_recurrence, indicators_session_vwap, indicators_bands,
+    features_trend, features_momentum, features_volatility, features_volume, features_returns, features_structure, features_price_action, features_relative, features_recurrence, features_recurrence_sliced, features_structure_sliced, features_returns_sliced, indicators_session_vwap, indicators_bands,
     regime_labels, strategy_decisions, strategy_regime_filter, entries_per_symbol, forward_returns, feature_ic, feature_ic_stability, feature_redundancy, feature_ridge,
 )}
 
@@ -227,7 +249,7 @@ _RECURRENCE = f"""WITH RECURSIVE {BARS}, d AS (SELECT *, row_number() OVER ({_W}
     o AS (SELECT q2.symbol, ts, CASE WHEN rn >= 20 THEN e20 END AS ema, CASE WHEN rn >= 20 THEN close / e20 - 1 END AS dist_ema, CASE WHEN g IS NOT NULL THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi,
       CASE WHEN rn >= 34 THEN (line - sig) / close END AS macd_hist, a14 AS atr, a14 / close AS atr_pct, adx, pdi - mdi AS di_diff, CASE WHEN fu IS NOT NULL THEN way::DOUBLE END AS supertrend_dir, CASE WHEN rn >= 20 THEN (close - e20) / (2.0 * a10) END AS keltner_pos
       FROM q2 JOIN r2 USING (symbol, rn))
-    SELECT symbol, ts, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('ema', 'dist_ema', 'rsi', 'macd_hist', 'atr', 'atr_pct', 'adx', 'di_diff', 'supertrend_dir', 'keltner_pos'))} FROM o"""
+    SELECT symbol, ts, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in ('ema', 'dist_ema', 'rsi', 'macd_hist', 'atr', 'atr_pct', 'adx', 'di_diff', 'supertrend_dir', 'keltner_pos'))} FROM o"""
 
 ORACLES = {
     "features_trend": _sql(
@@ -286,3 +308,4 @@ ORACLES = {
         k AS (SELECT *, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS ka, (cby * caa - cay * cab) / (caa * cbb - cab * cab) AS kb FROM t)
         SELECT term, round(value, 6) + 0.0 AS value FROM (SELECT 'intercept' AS term, (sy - ka * sa - kb * sb) / n AS value FROM k UNION ALL SELECT 'ret', ka FROM k UNION ALL SELECT 'drawdown', kb FROM k)""",
 }
+ORACLES |= {f"features_{k}_sliced": ORACLES[f"features_{k}"] for k in ("recurrence", "structure", "returns")}
