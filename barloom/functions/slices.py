@@ -77,6 +77,28 @@ def carried(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     return met.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(line), F.col(f"_ahead_{c}")) for c in columns}).drop(*[f"_ahead_{c}" for c in columns])
 
 
+#: How two parts' values of a running aggregate become one
+_MERGE = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}
+
+
+def running(rows: DataFrame, wanted: dict[str, tuple[str, Column]], order: list[str]) -> DataFrame:
+    """rows of split() with the sum, max or min of a column over the symbol's rows so far: name -> (aggregate, column).
+
+    Each slice sends one row of totals; a slice starts from the merged totals of those before it.  Rows ahead of a slice's own get no value of use.
+    """
+    if not wanted:
+        return rows
+    rows = cut(rows)
+    own = {name: F.when(F.col("_kept"), column) for name, (_, column) in wanted.items()}
+    call = lambda name, column: getattr(F, wanted[name][0])(column)
+    totals = rows.where("_kept").groupBy("symbol").agg(*[call(n, c).alias(n) for n, c in own.items()])
+    earlier = Window.partitionBy("symbol.symbol").orderBy("symbol.slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(F.col("symbol").alias("_pair"), *[call(n, F.col(n)).over(earlier).alias(f"_ahead_{n}") for n in wanted])
+    line = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(ahead.hint("merge"), F.col("symbol") == F.col("_pair"), "left").drop("_pair")
+    return met.withColumns({n: _MERGE[wanted[n][0]](call(n, own[n]).over(line), F.col(f"_ahead_{n}")) for n in wanted}).drop(*[f"_ahead_{n}" for n in wanted])
+
+
 class SlicedStaged(Staged):
     """A Staged frame over the rows of split()."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import compute, feature
+from ..functions.slices import Slicing
 from ..operators import lifecycle, portfolio, regime, risk, simulate
 from ..operators import metrics as m
 from ..operators.align import with_availability
@@ -49,6 +50,23 @@ def metrics_trades(spark, sf):
     return tidy(m.trade_metrics(_trades(spark, sf)), 4)
 
 
+#: Blocks of a run: whole months until there are so many rows
+_BLOCKS = Slicing(60, "month")
+
+
+def metrics_drawdowns_sliced(spark, sf):
+    """Peaks merged over some 30 blocks of a run."""
+    return tidy(m.drawdowns(_equity(spark, sf), _BLOCKS).select("run_id", "ts", "drawdown"))
+
+
+def metrics_equity_sliced(spark, sf):
+    return tidy(m.equity_metrics(_equity(spark, sf), slicing=_BLOCKS), 5)
+
+
+def metrics_trades_sliced(spark, sf):
+    return tidy(m.trade_metrics(_trades(spark, sf), _BLOCKS), 4)
+
+
 def metrics_monthly(spark, sf):
     return tidy(m.periodic_returns(_equity(spark, sf), "month"))
 
@@ -128,13 +146,11 @@ def calibrated_confidence(spark, sf):
 
 
 def strategy_decay(spark, sf):
-    """O7 on each priority's trades."""
-    rows = []
-    trades = _trades(spark, sf)
-    for name in sorted(r.run_id for r in trades.select("run_id").distinct().collect()):
-        got = portfolio.decay(trades.where(F.col("run_id") == name), {"win_rate": 0.55, "expectancy_r": 0.2, "equity": 1e7, "mc_p5_drawdown": -0.3})
-        rows.append((name, got["n_trades"], got["health"], got["recommendation"]))
-    return tidy(spark.createDataFrame(rows, "name string, n_trades long, health double, recommendation string"))
+    """O7 on each priority's trades, all in one plan; how often a trade should come and what it should cost, too."""
+    o = table(spark, sf, "orders")
+    trades = _trades(spark, sf).withColumn("slippage_bps", F.col("seq") % 11)
+    expected = o.groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.countDistinct("o_orderdate").cast("double").alias("days")).select("run_id", F.lit(0.55).alias("win_rate"), F.lit(0.02).alias("expectancy_r"), F.lit(1e7).alias("equity"), F.when(F.col("run_id") != "5-LOW", -0.3).alias("mc_p5_drawdown"), F.lit(1.2).alias("trades_per_day"), "days", F.lit(4.0).alias("slippage_bps"))
+    return tidy(portfolio.decay(trades, expected), 5)
 
 
 def _risk_tables(spark, sf):
@@ -256,9 +272,8 @@ def monte_carlo_bootstrap(spark, sf):
 
 
 def sharpe_scores(spark, sf):
-    """R12 from moments of each curve."""
-    rows = [(r.run_id, rs.probabilistic_sharpe(r.n, r["mean"], r.sd, r.skew, r.kurt), rs.deflated_sharpe(r.n, r["mean"], r.sd, r.skew, r.kurt, 20)) for r in m.return_moments(_equity(spark, sf)).collect()]
-    return tidy(spark.createDataFrame(rows, "run_id string, psr double, dsr double"))
+    """R12 from moments of each curve, in one plan."""
+    return tidy(rs.sharpe_scores(m.return_moments(_equity(spark, sf)), 20))
 
 
 def _runs(spark, sf):
@@ -320,7 +335,7 @@ def paper_fills(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    metrics_equity, metrics_drawdowns, metrics_trades, metrics_monthly, metrics_yearly, metrics_by_regime, metrics_concentration, metrics_moments, trade_report_cube, baseline_buy_and_hold, baseline_risk_free,
+    metrics_equity, metrics_drawdowns, metrics_trades, metrics_equity_sliced, metrics_drawdowns_sliced, metrics_trades_sliced, metrics_monthly, metrics_yearly, metrics_by_regime, metrics_concentration, metrics_moments, trade_report_cube, baseline_buy_and_hold, baseline_risk_free,
     portfolio_covariance, portfolio_allocation, portfolio_concentration, calibration_table, calibrated_confidence, strategy_decay, risk_decisions, risk_decisions_micro, lifecycle_requests, simulated_trades, simulated_equity,
     conservation, truncation_check, cost_sensitivity, rule_ablation, walk_forward_folds, walk_forward, parameter_robustness, monte_carlo_shuffle, monte_carlo_bootstrap, sharpe_scores, strategy_scores, walk_forward_summary, market_scan,
     stream_bars_batch, stream_session_windows, paper_fills,
@@ -459,3 +474,25 @@ ORACLES = {
     "stream_session_windows": """WITH e AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts) AS k FROM e)
         SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY symbol, k""",
 }
+ORACLES |= {f"metrics_{k}_sliced": ORACLES[f"metrics_{k}"] for k in ("drawdowns", "equity", "trades")}
+
+
+def _simpson(z: str, density: str) -> str:
+    """0.5 + the integral from 0 to z of a density of x."""
+    return f"0.5 + {z} / 1200.0 * list_sum([(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density.replace('x', f'({z} * i / 400.0)')}) FOR i IN range(401)])"
+
+
+_NORMAL = "pow(2.718281828459045, -x * x / 2) / sqrt(2 * pi())"
+_BEST = (1 - rs.EULER) * rs.NORMAL.inv_cdf(1 - 1 / 20) + rs.EULER * rs.NORMAL.inv_cdf(1 - 1 / (20 * 2.718281828459045))
+ORACLES["sharpe_scores"] = f"""WITH {_EQUITY}, {_RET}, c AS (SELECT *, r - avg(r) OVER (PARTITION BY run_id) AS d FROM ret),
+    k AS (SELECT run_id, count(r) AS n, avg(r) / stddev_samp(r) AS sr, avg(d ** 3) / avg(d ** 2) ** 1.5 AS skew, avg(d ** 4) / avg(d ** 2) ** 2 AS kurt FROM c GROUP BY run_id),
+    z AS (SELECT run_id, sr * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS a, (sr - sqrt(1.0 / n) * {_BEST!r}) * sqrt(n - 1) / sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) AS b FROM k)
+    SELECT run_id, round({_simpson('a', _NORMAL)}, 6) + 0.0 AS psr, round({_simpson('b', _NORMAL)}, 6) + 0.0 AS dsr FROM z"""
+ORACLES["strategy_decay"] = f"""WITH {_TRADES}, days AS (SELECT o_orderpriority AS run_id, count(DISTINCT o_orderdate)::DOUBLE AS days FROM orders GROUP BY 1),
+    e AS (SELECT *, 1e7 + sum(pnl) OVER (PARTITION BY run_id ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING) AS eq FROM trades), d AS (SELECT *, eq / max(eq) OVER (PARTITION BY run_id ORDER BY exit_ts, seq ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e),
+    a AS (SELECT run_id, count(*) AS n, count(*) FILTER (pnl > 0) AS w, avg(r_multiple) AS mean, stddev_samp(r_multiple) AS sd, min(dd) AS drawdown, avg(seq % 11) - 4 AS excess FROM d GROUP BY run_id),
+    b AS (SELECT *, (mean - 0.02) / (sd / sqrt(n)) AS t, n - 1.0 AS v, -abs(n - 1.2 * days) / sqrt(1.2 * days) AS z, lgamma(n / 2.0) - lgamma((n - 1) / 2.0) - ln((n - 1) * pi()) / 2 AS c, run_id <> '5-LOW' AND drawdown < -0.3 AS breach FROM a JOIN days USING (run_id)),
+    p AS (SELECT *, list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.55) + (n - i) * ln(0.45)) FOR i IN range(w + 1)]) AS pw, {_simpson('t', 'exp(c - (v + 1) / 2 * ln(1 + (x * x) / v))'.replace('exp(', 'pow(2.718281828459045, '))} AS pe, 2 * ({_simpson('z', _NORMAL)}) AS pf FROM b),
+    q AS (SELECT *, least(pw, pe) AS worst FROM p)
+    SELECT run_id, n AS n_trades, round(pw, 5) + 0.0 AS p_win_rate, round(pe, 5) + 0.0 AS p_expectancy, round(pf, 5) + 0.0 AS p_frequency, round(excess, 5) + 0.0 AS slippage_excess_bps, round(drawdown, 5) + 0.0 AS drawdown, breach, round(least(1, worst / 0.05) * CASE WHEN breach THEN 0.5 ELSE 1 END, 5) + 0.0 AS health,
+      CASE WHEN breach AND worst < 0.01 THEN 'DISABLE' WHEN breach OR worst < 0.01 THEN 'UNDER_REVIEW' WHEN worst < 0.05 OR pf < 0.01 THEN 'DEGRADED' ELSE 'KEEP' END AS recommendation FROM q"""

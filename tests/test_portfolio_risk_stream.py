@@ -78,9 +78,22 @@ def test_calibration_and_decay(spark):
     assert got[-1.0] < 0.5 < got[0.99] == got[7.0]
     assert portfolio.confidence(spark.createDataFrame([(0.5,)], "score double"), portfolio.calibrate(df.limit(40))).first().confidence is None
     trades = lambda win: spark.createDataFrame([(sessions(100)[k], 10.0 if k % 10 < win else -10.0, 1.0 if k % 10 < win else -1.0) for k in range(100)], "exit_ts timestamp, pnl double, r_multiple double")
-    good = portfolio.decay(trades(6), {"win_rate": 0.55, "expectancy_r": 0.1, "equity": 1000.0})
-    bad = portfolio.decay(trades(2), {"win_rate": 0.6, "expectancy_r": 0.3, "equity": 1000.0, "mc_p5_drawdown": -0.1})
-    assert good["recommendation"] == "KEEP" and bad["recommendation"] == "DISABLE" and bad["health"] < 1e-9 and portfolio.decay(trades(6).limit(5), {})["recommendation"] == "KEEP"
+    made = trades(6).withColumn("run_id", F.lit("good")).unionByName(trades(2).withColumn("run_id", F.lit("bad"))).unionByName(trades(6).limit(5).withColumn("run_id", F.lit("young")))
+    expected = spark.createDataFrame([("good", 0.55, 0.1, 1000.0, None), ("bad", 0.6, 0.3, 1000.0, -0.1), ("young", 0.9, 2.0, 1000.0, -0.1), ("none", 0.5, 0.1, 1000.0, -0.1)], "run_id string, win_rate double, expectancy_r double, equity double, mc_p5_drawdown double")
+    got = {r.run_id: r for r in portfolio.decay(made, expected).collect()}
+    assert got["good"].recommendation == "KEEP" and got["bad"].recommendation == "DISABLE" and got["bad"].health < 1e-9
+    assert [(got[k].recommendation, got[k].n_trades, got[k].health, got[k].p_win_rate) for k in ("young", "none")] == [("KEEP", 5, 1.0, None), ("KEEP", 0, 1.0, None)]
+
+
+def test_a_breach_or_weak_results_alone(spark):
+    """A breach alone is one step; a number of trades far off is weak evidence; costs are compared where both are known."""
+    rows = [(run, sessions(60)[k], pnl(k), 0.0 if run == "flat" else float(k % 3), 9.0) for run, pnl in (("deep", lambda k: -900.0 if k == 30 else 30.0), ("many", lambda k: 30.0), ("flat", lambda k: 30.0)) for k in range(60)]
+    made = spark.createDataFrame(rows, "run_id string, exit_ts timestamp, pnl double, r_multiple double, slippage_bps double")
+    expected = spark.createDataFrame([("deep", 0.5, 0.1, 100.0, -0.5, None, None, 5.0), ("many", 0.5, 0.1, 100.0, -0.5, 1.0, 10.0, None), ("flat", 0.5, 0.1, 100.0, None, 1.0, 60.0, None)], "run_id string, win_rate double, expectancy_r double, equity double, mc_p5_drawdown double, trades_per_day double, days double, slippage_bps double")
+    got = {r.run_id: r for r in portfolio.decay(made, expected).collect()}
+    assert (got["deep"].recommendation, got["deep"].health, got["deep"].slippage_excess_bps) == ("UNDER_REVIEW", 0.5, 4.0)
+    assert got["many"].recommendation == "DEGRADED" and got["many"].p_frequency < 1e-9 and got["many"].slippage_excess_bps is None
+    assert got["flat"].recommendation == "KEEP" and got["flat"].p_expectancy is None and got["flat"].p_frequency == 1.0
 
 
 PORTFOLIO = "portfolio_id int, equity double, cash double, peak_equity double, day_start_equity double, week_start_equity double, consecutive_losses int"
