@@ -2,9 +2,9 @@
 
 Pages of one host are aligned in pairs by simple tree matching of their DOM trees.  Aligned lines of text that
 agree vote for "template", others for "slot"; votes are counted in Spark by host, node path and text.  What most
-alignments of a host agree on is its template and is dropped wherever it stands.  The varying slots show where the
-content is: the deepest container standing once a page that holds most of a host's varying text outside links is
-the host's content region, and a page's text is what the region holds, with the title above it.
+alignments of a host agree on is its template.  The varying slots show where the content is: the deepest container standing once a page that holds most of a host's varying text outside links,
+with every other such container that holds a good part of it, is the host's content region; an article or main element around one is content as a whole.  A page's text is what the region holds, with the title
+above it.  Template is dropped wherever it stands, but for the region's headings: those recur because articles do.
 
 Markup decides only where alignment can't: inside the region it leaves out menus, forms, adverts, notices and
 comments, which vary like content does; on hosts without a region it stands in for it (article or main element,
@@ -33,7 +33,7 @@ from .words import slices
 
 #: Elements by what they are
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("head script style noscript template iframe object svg math canvas audio video button select option textarea label title".split())
+RAW = frozenset("head script style noscript template iframe object svg math canvas audio video button select option textarea title".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul hr".split())
 APART = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
@@ -48,6 +48,10 @@ notice notices alert cookie cookies consent gdpr popup modal overlay subscribe s
 comment comments respond reply replies discussion disqus share sharing social
 form search searchbox contentinfo complementary
 """.split())
+#: Those of them that also name parts of articles: what bears no other is dropped only where it is little prose
+WEAK = frozenset("form search discussion related recommended share sharing social side aside rail tabs reply respond alert notice notices promotion".split())
+#: Characters outside links from which a block with a weak name is prose
+PROSE = 120
 #: Words that say nothing beside those of BOILER
 FILLER = frozenset("area bar block bottom box container content div holder inner item items left links list main outer page panel post posts right section site slot small top unit wrap wrapper".split())
 #: Names of page headers, which count outside an article only
@@ -63,7 +67,8 @@ _TABLE = 1 << 26
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none")
-KEEP, HEAD, DROP = 0, 1, 2
+KEEP, HEAD, MAYBE, DROP = range(4)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _long(data: bytes) -> int:
@@ -101,9 +106,12 @@ def _named(value: str) -> int:
         words = [w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", name).lower()) if w]
         rest = [w for w in words if w not in FILLER]
         if rest and BOILER.issuperset(rest):
-            return DROP
+            if not WEAK.issuperset(rest):
+                return DROP
+            mark = MAYBE
+            continue
         if rest and HEADS.issuperset(rest):
-            mark = HEAD
+            mark = max(mark, HEAD)
     return mark
 
 
@@ -117,6 +125,8 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
             return DROP
+        if name == "id" and tag == "section":  # where links go, not what it is
+            continue
         if name in ("class", "id", "role") and value and tag in HOLDS and tag not in MAIN and tag not in ("html", "body"):
             mark = max(mark, _named(value))
     return mark
@@ -132,6 +142,8 @@ class _Builder(HTMLParser):
         self.within = [self.nodes[0]]  # the open blocks
         self.hidden = self.links = self.linked = 0
         self.line: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each tag in self.open
+        self.solid = [0]  # of the open blocks but paragraphs
 
     def flush(self) -> None:
         if self.line:
@@ -144,8 +156,11 @@ class _Builder(HTMLParser):
 
     def close_from(self, at: int) -> None:
         while len(self.open) > at:
-            _, block, hides, links = self.open.pop()
+            tag, block, hides, links = self.open.pop()
+            self.places[tag].pop()
             if block:
+                if tag != "p":
+                    self.solid.pop()
                 self.flush()
                 self.within.pop()
             else:
@@ -163,13 +178,9 @@ class _Builder(HTMLParser):
             if tag not in ("html", "body"):
                 closes = (closes or set()) | {"p"}
         if closes:
-            for at in range(len(self.open) - 1, 0, -1):
-                own = self.open[at][0]
-                if own in closes:
-                    self.close_from(at)
-                    break
-                if own in BLOCK and own != "p":
-                    break
+            at = max((self.places[t][-1] for t in closes if self.places.get(t)), default=0)
+            if at and self.solid[-1] <= at:
+                self.close_from(at)
         if tag in VOID:
             if tag == "br":
                 self.line.append(" ")
@@ -180,8 +191,12 @@ class _Builder(HTMLParser):
             node.parent.kids.append(node)
             self.nodes.append(node)
             self.within.append(node)
+            self.places.setdefault(tag, []).append(len(self.open))
+            if tag != "p":
+                self.solid.append(len(self.open))
             self.open.append((tag, True, 0, 0))
         else:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, False, mark == DROP, tag == "a"))
             self.hidden += mark == DROP
             self.links += tag == "a"
@@ -192,10 +207,8 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self.close_from(at)
-                return
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data):
         if not self.hidden:
@@ -210,7 +223,13 @@ def parse(html: str | None) -> list[Node]:
     builder.feed(html or "")
     builder.close()
     builder.flush()
+    prose: dict[int, int] = {}
     for node in reversed(builder.nodes):  # without recursion: a page may nest without bound
+        own = prose.pop(id(node), 0) + sum(len(k.text) - k.linked for k in node.kids if k.shape == 0)
+        if node.mark == MAYBE:
+            node.mark = KEEP if own >= PROSE else DROP
+        if node.parent is not None:
+            prose[id(node.parent)] = prose.get(id(node.parent), 0) + own
         node.key = hash((node.shape, *(k.key for k in node.kids)))
     return builder.nodes
 
@@ -293,28 +312,35 @@ def align(a: Node, b: Node) -> list[tuple[Line, Line]]:
     return out
 
 
-def blocks(nodes: list[Node], template: frozenset[int] = frozenset(), region: int | None = None) -> list[str]:
+def blocks(nodes: list[Node], template: frozenset[int] = frozenset(), region: frozenset[int] = frozenset()) -> list[str]:
     """The page's content in order: of its region and the title above, else of its article or main element, else of its body."""
+    held = set()
+    for node in nodes if region else ():
+        if node.path in region:
+            around = node
+            while around is not None and around.tag not in MAIN:
+                around = around.parent
+            held.add(id(around or node))
 
     def walk(inside) -> list[str]:
         found: list[str] = []
-        stack: list[tuple[object, bool, bool]] = [(nodes[0], False, False)]
+        stack: list[tuple[object, bool, bool, bool]] = [(nodes[0], False, False, False)]
         while stack:
-            item, wanted, article = stack.pop()
+            item, wanted, article, heading = stack.pop()
             if item.shape == 0:
-                if wanted and item.key not in template:
+                if wanted and (item.key not in template or article and heading):
                     found.append(item.text)
                 continue
             here = wanted or inside(item)
-            article = article or item.tag in MAIN or region is not None and item.path == region
+            article = article or item.tag in MAIN or id(item) in held
             if item.mark == DROP or item.mark == HEAD and not article:
                 continue
-            stack += [(k, here, article) for k in reversed(item.kids)]
+            stack += [(k, here, article, item.tag in HEADINGS) for k in reversed(item.kids)]
         return found
 
     got = []
-    if region is not None and any(n.path == region for n in nodes):
-        got = walk(lambda n: n.path == region or n.tag == "h1")
+    if held:
+        got = walk(lambda n: id(n) in held or n.tag == "h1")
     return got or walk(lambda n: n.tag in MAIN) or walk(lambda n: True)
 
 
@@ -399,7 +425,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            texts = ["\n\n".join(blocks(parse(html), frozenset(lines or ()), region)) for html, lines, region in zip(*(part.column(c).to_pylist() for c in ("html", "lines", "region")), strict=True)]
+            texts = ["\n\n".join(blocks(parse(html), frozenset(lines or ()), frozenset(region or ()))) for html, lines, region in zip(*(part.column(c).to_pylist() for c in ("html", "lines", "region")), strict=True)]
             out = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), out, pc.utf8_length(out).cast(pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -412,11 +438,11 @@ def _with_hosts(pages: DataFrame, hosts: DataFrame, size) -> DataFrame:
     return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
 
-def extract(pages: DataFrame, support: int = 2, share: float = 0.5, spread: float = 0.2, most: float = 0.7) -> DataFrame:
+def extract(pages: DataFrame, support: int = 2, share: float = 0.5, spread: float = 0.2, most: float = 0.7, part: float = 0.15) -> DataFrame:
     """The main text of every page of pages (page_id, url, html): page_id, url, text, n_chars.
 
     A line is template if `support` alignments of its host agreed on it (one, on a host with one alignment),
-    `share` of those that met it, and `spread` of all; the content region of a host holds `most` of its varying text, or more.
+    `share` of those that met it, and `spread` of all; the content region of a host is the deepest container that holds `most` of its varying text, and those beside it that hold `part` of it.
     Blocks keep page order and are joined by two line feeds; white space inside one becomes one space.  A
     null or empty page has an empty text, as has a page without content; very long and very deep pages are aligned and read whole.
     A null url is a host of its own; repeated pages are each extracted, and neither they nor near copies vote; pages that
@@ -440,5 +466,8 @@ def extract(pages: DataFrame, support: int = 2, share: float = 0.5, spread: floa
     root = F.filter("holders", lambda x: x.depth == 0)[0]
     deep = F.array_max(F.filter("holders", lambda x: (x.depth > 1) & (x.c >= most * root.c)))
     agreed = F.filter("lines", lambda x: x.a >= F.greatest(F.least(F.lit(support), root.b), spread * root.b))
-    known = cut(by_host.select("host", F.transform(agreed, lambda x: x.key).alias("lines"), deep.key.alias("region")).where((F.size("lines") > 0) | F.col("region").isNotNull()))
-    return _with_hosts(rows, known, F.octet_length("host") + 8 * F.size("lines") + 16).select("page_id", "url", "html", "lines", "region").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # what holds less than `most` is beside the deepest one, or within it
+    beside = F.filter("holders", lambda x: (x.depth > 1) & (x.c >= part * root.c) & (x.c < most * root.c))
+    region = F.when(deep.isNotNull(), F.concat(F.array(deep.key), F.transform(beside, lambda x: x.key)))
+    known = cut(by_host.select("host", F.transform(agreed, lambda x: x.key).alias("lines"), region.alias("region")).where((F.size("lines") > 0) | F.col("region").isNotNull()))
+    return _with_hosts(rows, known, F.octet_length("host") + 8 * F.size("lines") + 8 * F.coalesce(F.size("region"), F.lit(0)) + 16).select("page_id", "url", "html", "lines", "region").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
