@@ -105,16 +105,37 @@ def validate(bars: DataFrame, calendar: DataFrame, timeframe: str, asof: Column,
     return Validated(clean.join(failed, "symbol", "left_anti"), issues, failed)
 
 
+def numbered(calendar: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Every day from the calendar's first session to its last: _day, _upto (sessions up to it), _open (1 if it is one); and that last day and number, for days beyond.
+
+    A row a day, a few thousand for decades: this is what is broadcast, and no session meets a symbol.
+    """
+    sessions = calendar.select("session").distinct()
+    ends = sessions.agg(F.min("session").alias("a"), F.max("session").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    days = sessions.sparkSession.range(1).select(F.explode(F.sequence(F.lit(ends.a), F.lit(ends.b))).alias("_day")) if ends.n else sessions.select(F.col("session").alias("_day"))
+    marked = days.join(sessions, F.col("_day") == F.col("session"), "left").select("_day", F.col("session").isNotNull().cast("int").alias("_open"))
+    return marked.withColumn("_upto", F.sum("_open").over(Window.orderBy("_day"))), F.lit(ends.b), F.lit(ends.n)
+
+
 def _session_rules(clean: DataFrame, calendar: DataFrame, asof: Column, limits: Limits) -> list[DataFrame]:
-    """MISSING_SESSIONS: sessions between a symbol's ends without a bar; STALE: too many since its last."""
-    span = clean.groupBy("symbol").agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"), F.countDistinct(F.to_date("ts")).alias("have"))
-    days = F.broadcast(calendar.select("session"))
-    expected = span.join(days, F.col("session").between(F.col("lo"), F.col("hi")))
-    present = clean.select(F.col("symbol").alias("_s"), F.to_date("ts").alias("_d")).distinct()
-    missing = expected.join(present, (F.col("symbol") == F.col("_s")) & (F.col("session") == F.col("_d")), "left_anti")
-    sums = expected.groupBy("symbol").agg(F.count(F.lit(1)).alias("expected"))
-    gaps = missing.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("session").cast("timestamp").alias("first_ts"), F.max("session").cast("timestamp").alias("last_ts")).join(sums, "symbol")
+    """MISSING_SESSIONS: sessions between a symbol's ends without a bar; STALE: too many since its last.
+
+    Sessions are numbered, so a gap is a difference between the numbers of a symbol's neighbouring days.
+    """
+    days, final, total = numbered(calendar)
+    counted = lambda rows, day, pre: rows.join(F.broadcast(days.withColumnsRenamed({"_day": f"{pre}_day", "_upto": f"{pre}_upto", "_open": f"{pre}_open"})), F.col(day) == F.col(f"{pre}_day"), "left").withColumns({f"{pre}_upto": F.coalesce(f"{pre}_upto", F.when(F.col(day) > final, total).otherwise(0)), f"{pre}_open": F.coalesce(f"{pre}_open", F.lit(0))}).drop(f"{pre}_day")
+    own = counted(clean.select("symbol", F.to_date("ts").alias("day")).distinct(), "day", "")
+    last = F.lag("_upto").over(Window.partitionBy("symbol").orderBy("day"))
+    gaps = own.withColumn("_from", last + 1).withColumn("_lost", F.coalesce(F.col("_upto") - F.col("_open") - F.col("_from") + 1, F.lit(0)))
+    lost = F.col("_lost") > 0
+    sums = gaps.groupBy("symbol").agg(
+        F.sum("_lost").alias("n"), F.min(F.when(lost, F.col("_from"))).alias("_first"), F.max(F.when(lost, F.col("_upto") - F.col("_open"))).alias("_last"),
+        F.max("day").alias("hi"), (F.max("_upto") - F.min("_upto") + F.min_by("_open", "day")).alias("expected"), F.max("_upto").alias("_to"), F.max_by("_open", "day").alias("_at_end"),
+    )
+    dated = lambda rows, number, name: rows.join(F.broadcast(days.where("_open = 1").select(F.col("_upto").alias(number), F.col("_day").cast("timestamp").alias(name))), number)
+    missing = dated(dated(sums.where("n > 0"), "_first", "first_ts"), "_last", "last_ts")
     kind = F.when(F.col("n") / F.col("expected") > limits.missing_ratio, "ERROR").otherwise("WARNING")
-    gaps = gaps.select("symbol", F.lit("MISSING_SESSIONS").alias("code"), kind.alias("severity"), "n", "first_ts", "last_ts")
-    since = span.join(days, (F.col("session") >= F.col("hi")) & (F.col("session") <= F.to_date(asof))).groupBy("symbol").agg((F.count(F.lit(1)) - 1).alias("n"), F.max("hi").cast("timestamp").alias("first_ts")).where(F.col("n") > limits.stale_sessions)
-    return [gaps, since.select("symbol", F.lit("STALE").alias("code"), F.lit("ERROR").alias("severity"), "n", "first_ts", F.col("first_ts").alias("last_ts"))]
+    missing = missing.select("symbol", F.lit("MISSING_SESSIONS").alias("code"), kind.alias("severity"), "n", "first_ts", "last_ts")
+    now = counted(sums.withColumn("_now", F.to_date(asof)), "_now", "_asof")
+    since = now.select("symbol", (F.col("_asof_upto") - F.col("_to") + F.col("_at_end") - 1).alias("n"), F.col("hi").cast("timestamp").alias("first_ts")).where(F.col("n") > limits.stale_sessions)
+    return [missing, since.select("symbol", F.lit("STALE").alias("code"), F.lit("ERROR").alias("severity"), "n", "first_ts", F.col("first_ts").alias("last_ts"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -77,16 +78,16 @@ def _chunked(rows: DataFrame, key: list[str], time: str, tie: str, chunks: int,
     return placed.withColumn("chunk", chunk.cast("int")).drop("_n", "_upto", "_all")
 
 
-def _long(rows: DataFrame, features: list[str], label: str, *keep: str) -> DataFrame:
+def _long(rows: DataFrame, features: list[str], label: str, *keep: str, name: str = "feature") -> DataFrame:
     """One row per feature and observation where both values are known."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("x")) for f in features]))
-    return rows.select(*keep, F.col(label).alias("y"), pairs.alias("p")).select(*keep, "p.feature", "p.x", "y").where("x is not null and y is not null")
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias(name), F.col(f"`{f}`").alias("x")) for f in features]))
+    return rows.select(*keep, F.col(label).alias("y"), pairs.alias("p")).select(*keep, f"p.{name}", "p.x", "y").where("x is not null and y is not null")
 
 
-def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups: tuple[str, ...] = (), least: int = 30) -> DataFrame:
-    """feature (per groups), n, ic: Spearman correlation with the label; NULL under `least` observations."""
-    long = cut(_long(rows, features, label, *groups))
-    key = [*groups, "feature"]
+def rank_ic(rows: DataFrame, features: list[str], label: str = "label", groups: tuple[str, ...] = (), least: int = 30, name: str = "feature") -> DataFrame:
+    """feature (per groups), n, ic: Spearman correlation with the label; NULL under `least` observations.  name: what the column of features is called."""
+    long = cut(_long(rows, features, label, *groups, name=name))
+    key = [*groups, name]
     ranked = _ranked(long, {"rx": "x", "ry": "y"}, key, long.count())
     return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
@@ -128,30 +129,69 @@ def predict(rows: DataFrame, fit: dict) -> DataFrame:
     return rows.withColumn("prediction", sum((F.col(f"`{f}`") * c for f, c in fit["coef"].items()), F.lit(fit["intercept"])))
 
 
+#: Rounds of a permutation, and walks back into its domain: a walk ends outside with a chance of about 1 / sqrt(n)
+ROUNDS, WALKS, FEW_ROWS = 6, 16, 10_000
+
+
+def permuted(k: Column, n: int, *key: Column) -> Column:
+    """A permutation of 0 .. n - 1 for each value of key, by arithmetic alone: a Feistel network on pairs of digits that just hold n, walked until it is back below n.
+
+    Rows are shuffled by a join on this number, in parts, without an order of all of them.
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-max(n, 1) // a)
+
+    def turn(pair: Column, i: Column) -> Column:
+        left = F.pmod(pair.l + F.xxhash64(pair.r, i, *key) % a, F.lit(a))
+        right = F.pmod(pair.r + F.xxhash64(pair.l, i, *key) % b, F.lit(b))
+        return F.when(i % 2 == 0, F.struct(left.alias("l"), pair.r.alias("r"))).otherwise(F.struct(pair.l.alias("l"), right.alias("r")))
+
+    def step(v: Column) -> Column:
+        start = F.struct(F.floor(v / b).cast("long").alias("l"), (v % b).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda p: p.l * b + p.r)
+
+    walks = F.sequence(F.lit(1), F.lit(64 if n < FEW_ROWS else WALKS))
+    return F.aggregate(walks, step(k.cast("long")), lambda v, _: F.when(v >= n, step(v)).otherwise(v))
+
+
+def row_numbers(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """rows (cut) with numbers from 0 without gaps, and how many there are: a partition's rows follow those of the partitions before."""
+    held = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+    sizes = held.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.orderBy("_part")  # a row a partition
+    starts = cut(sizes.select("_part", (F.sum("_n").over(line) - F.col("_n")).alias("_start"), "_n"))
+    total = starts.agg(F.sum("_n")).first()[0] or 0
+    met = held.join(F.broadcast(starts.select("_part", "_start")), F.shiftright("_id", 33) == F.col("_part"))
+    return met.withColumn(name, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_start"), total
+
+
 def importance(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", repeats: int = 10, seed: int = 0) -> DataFrame:
     """feature, permutation, ablation: loss of rank correlation on test when a feature is shuffled, or left out of the fit.
 
-    Features are standardised by the training table.  A shuffle is a join of the feature to itself by two
-    random orders, seeded, so nothing leaves Spark.
+    Features are standardised by the training table.  All shuffles of all features are one join, of each row's number under a keyed permutation with the row of that
+    number; since the fit is linear, a shuffle changes a prediction by the feature's coefficient times the change of the feature.
     """
     stats = train.agg(*[F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_samp(f"`{f}`").alias(f"d{i}") for i, f in enumerate(features)]).first()
     scale = lambda df: df.select("symbol", "ts", label, *[((F.col(f"`{f}`") - stats[f"m{i}"]) / (stats[f"d{i}"] or 1.0)).alias(f) for i, f in enumerate(features)]).dropna()
-    fitted, held = scale(train), scale(test)
+    fitted = cut(scale(train))
     fit = ridge(fitted, features, label)
-    score = lambda df: rank_ic(df, ["prediction"], label, least=2).first()["ic"] or 0.0
-    base, spark = score(predict(held, fit)), train.sparkSession
-    rows = []
-    order = lambda s: F.row_number().over(Window.orderBy(F.xxhash64("symbol", "ts", F.lit(s))))
-    for i, f in enumerate(features):
-        lost = []
-        for r in range(repeats):
-            a = held.withColumn("_k", order(2 * (seed + r)))
-            b = held.select(F.col(f"`{f}`").alias("_x"), order(2 * (seed + r) + 1).alias("_k"))
-            lost.append(base - score(predict(a.join(b, "_k").drop(f).withColumnRenamed("_x", f), fit)))
-        rest = [x for x in features if x != f]
-        without = base - score(predict(held, ridge(fitted, rest, label))) if rest else base
-        rows.append((f, float(np.mean(lost)), float(without)))
-    return spark.createDataFrame(rows, "feature string, permutation double, ablation double")
+    rests = {f: ridge(fitted, [x for x in features if x != f], label) for f in features} if len(features) > 1 else {}
+    # numbered in order of time and symbol, range by range, so a shuffle is the same however rows are dealt
+    held, n = row_numbers(cut(predict(scale(test), fit)).repartitionByRange("ts", "symbol").sortWithinPartitions("ts", "symbol", label), "_k")
+    held = held.withColumnRenamed("prediction", "_base")
+    known = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("x"), F.lit(fit["coef"][f]).alias("c")) for f in features])
+    long = held.select("_k", F.col(label).alias("y"), "_base", F.explode(known).alias("p")).select("_k", "y", "_base", "p.*")
+    asked = long.withColumn("turn", F.explode(F.sequence(F.lit(seed), F.lit(seed + repeats - 1))))
+    asked = asked.withColumn("_from", permuted(F.col("_k"), n, F.col("feature"), F.col("turn")))
+    given = long.select(F.col("feature").alias("_feature"), F.col("_k").alias("_from"), F.col("x").alias("_x"))
+    moved = asked.join(given, (asked.feature == F.col("_feature")) & (asked._from == given._from)).select("feature", "turn", "y", (F.col("_base") + F.col("c") * (F.col("_x") - F.col("x"))).alias("prediction"))
+    shuffled = rank_ic(moved, ["prediction"], "y", ("feature", "turn"), least=2, name="of").groupBy("feature").agg(F.avg(F.coalesce("ic", F.lit(0.0))).alias("shuffled"))
+    score = lambda df: rank_ic(df, ["prediction"], label, least=2).first()
+    whole = score(held.withColumnRenamed("_base", "prediction"))
+    base = (whole and whole.ic) or 0.0
+    without = [(f, base - ((r.ic if (r := score(predict(held, rests[f]))) else None) or 0.0) if rests else base) for f in features]  # a fit for each feature
+    left = train.sparkSession.createDataFrame(without, "feature string, ablation double")
+    return left.join(shuffled, "feature", "left").select("feature", (F.lit(base) - F.coalesce("shuffled", F.lit(0.0))).alias("permutation"), "ablation")
 
 
 def select(rows: DataFrame, features: list[str], label: str = "label", min_ic: float = 0.01, min_consistency: float = 0.6, max_rho: float = 0.9) -> dict[str, str]:

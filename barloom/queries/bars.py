@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.slices import Slicing
 from ..operators import align
 from ..operators.quality import Limits, validate
+from ..plans.state import shared_path
 from ..sources import bars as src
 from ..sources.calendar import exchange_calendar, weekday_calendar
 from .base import BARS, CALENDAR, CALENDAR_SPAN, HOUR_BARS, NATION_BARS, SHIP_BARS, rounded, table, tidy
@@ -47,8 +48,6 @@ def canonical_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     """A store of all bars, the range of 1996 replaced twice, read back."""
-    from ..plans.state import shared_path
-
     bars, path = src.order_bars(spark, sf), shared_path(spark, "store")
     src.store_bars(bars, path, "1d")
     for _ in range(2):
@@ -210,10 +209,31 @@ def quality_short_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(validate(bars, cal, "1h", F.lit("2024-03-01").cast("timestamp")).issues)
 
 
+def quality_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 to Q3 and Q10: times without a zone, bars that arrive out of order, a symbol of which nothing is left, and one that never came."""
+    b = src.order_bars(spark, sf)
+    symbols = b.select("symbol").distinct()
+    b = b.withColumns({"ord": F.datediff("ts", F.lit("1970-01-01")).cast("long") * 37 % 10007, "close": F.when(F.col("symbol") != "5-LOW", F.col("close"))})
+    cal = weekday_calendar(spark, *CALENDAR_SPAN)
+    bars = align.with_availability(b, cal, "1d").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    universe = symbols.unionByName(symbols.agg(F.lit("ABSENT").alias("symbol")))
+    found = validate(bars, cal, "1d", F.lit("2001-06-01").cast("timestamp"), universe, ordinal="ord").issues
+    return tidy(found.where(F.col("code").isin("EMPTY", "NAIVE_TIMESTAMPS", "UNSORTED", "EMPTY_AFTER_CLEAN")))
+
+
+def csv_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily bars written as a tree of CSV files, a folder a symbol, and read back between two days."""
+    b = src.order_bars(spark, sf)
+    root = shared_path(spark, "csv")
+    src.write_csv_bars(b, root, "1d")
+    symbols = [r.symbol for r in b.select("symbol").distinct().collect()]  # a folder each
+    return tidy(src.read_csv_bars(spark, root, "1d", symbols, "1996-03-01", "1999-10-31").select("symbol", "timeframe", "ts", *_OHLCV))
+
+
 QUERIES = {f.__name__: f for f in (
     bars_daily, bars_daily_nation, bars_hourly, bars_shipments, bars_in_range, canonical_bars, symbols_with_prices, calendar_sessions, available_daily, available_weekly, available_hourly, resample_4h,
     resample_weekly, asof_join, asof_join_sliced, adjust_splits, adjust_total, universe_at, facts_as_of, news_in_window, macro_vintages, upsert_actions, insert_if_absent, quality_issues, quality_clean, quality_short_sessions,
-    stored_bars, exchange_sessions, universe_history,
+    stored_bars, exchange_sessions, universe_history, quality_arrival, csv_bars,
 )}
 
 _R = rounded(_OHLCV)
@@ -286,3 +306,8 @@ ORACLES = {
         SELECT symbol, code, severity, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM iss GROUP BY ALL""",
 }
 ORACLES["asof_join_sliced"] = ORACLES["asof_join"]
+ORACLES["quality_arrival"] = f"""WITH {BARS}, x AS (SELECT *, (ts::DATE - DATE '1970-01-01') * 37 % 10007 AS ord FROM bars), y AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ord) AS before FROM x)
+    SELECT symbol, 'UNSORTED' AS code, 'WARNING' AS severity, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM y WHERE ts < before GROUP BY symbol
+    UNION ALL SELECT symbol, 'NAIVE_TIMESTAMPS', 'WARNING', count(*), min(ts), max(ts) FROM bars GROUP BY symbol
+    UNION ALL SELECT DISTINCT symbol, 'EMPTY_AFTER_CLEAN', 'ERROR', 1, NULL::TIMESTAMP, NULL::TIMESTAMP FROM bars WHERE symbol = '5-LOW' UNION ALL SELECT 'ABSENT', 'EMPTY', 'ERROR', 1, NULL, NULL"""
+ORACLES["csv_bars"] = f"WITH {BARS} SELECT symbol, '1d' AS timeframe, ts, {_R} FROM bars WHERE ts BETWEEN '1996-03-01' AND '1999-10-31'"

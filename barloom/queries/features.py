@@ -195,9 +195,21 @@ def feature_ridge(spark, sf):
     return tidy(spark.createDataFrame([("intercept", fit["intercept"]), *fit["coef"].items()], "term string, value double"))
 
 
+def feature_importance(spark, sf):
+    """fitted on the bars before 1999, judged on those after; ten shuffles of each feature in one join."""
+    rows = _labelled(spark, sf)
+    split = F.lit("1999-01-01").cast("timestamp")
+    return tidy(selection.importance(rows.where(F.col("ts") < split), rows.where(F.col("ts") >= split), _EVAL))
+
+
+def feature_selection(spark, sf):
+    """which features are kept, weak, unstable or redundant."""
+    return spark.createDataFrame(sorted(selection.select(_labelled(spark, sf), _EVAL, max_rho=0.5).items()), "feature string, verdict string")
+
+
 QUERIES = {f.__name__: f for f in (
     features_trend, features_momentum, features_volatility, features_volume, features_returns, features_structure, features_price_action, features_relative, features_recurrence, features_recurrence_sliced, features_structure_sliced, features_returns_sliced, indicators_session_vwap, indicators_bands,
-    regime_labels, strategy_decisions, strategy_regime_filter, entries_per_symbol, forward_returns, feature_ic, feature_ic_stability, feature_redundancy, feature_ridge,
+    regime_labels, strategy_decisions, strategy_regime_filter, entries_per_symbol, forward_returns, feature_ic, feature_ic_stability, feature_redundancy, feature_ridge, feature_importance, feature_selection,
 )}
 
 _REL = "CASE WHEN c IS NOT NULL AND b IS NOT NULL THEN"

@@ -15,9 +15,9 @@ ACTION_SCHEMA = "ex_date string, kind string, value double"
 
 
 def read_csv_bars(spark: SparkSession, root: str, timeframe: str, symbols: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars from <root>/<timeframe>/<SYMBOL>.csv, start and end included; a missing file is an error."""
+    """Bars from <root>/<timeframe>/<SYMBOL>.csv, a file or a folder of them, start and end included; a missing one is an error."""
     raw = spark.read.schema(BAR_SCHEMA).option("header", True).csv([f"{root}/{timeframe}/{s}.csv" for s in symbols])
-    symbol = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
+    symbol = F.regexp_extract(F.input_file_name(), rf"/{timeframe}/([^/]+)\.csv(?:/[^/]*)?$", 1)
     ts = F.to_timestamp(F.col("ts"))
     bars = raw.select(F.url_decode(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), ts.alias("ts"), *[clean_number(F.col(c)).alias(c) for c in PRICES])
     if start:
@@ -25,6 +25,14 @@ def read_csv_bars(spark: SparkSession, root: str, timeframe: str, symbols: list[
     return bars.where(F.col("ts") <= F.to_timestamp(F.lit(end))) if end else bars
 
 
+def write_csv_bars(bars: DataFrame, root: str, timeframe: str) -> None:
+    """What read_csv_bars reads: a folder <root>/<timeframe>/<SYMBOL>.csv for each symbol; existing ones are replaced."""
+    symbols = [r.symbol for r in bars.select("symbol").distinct().collect()]  # a folder each
+    rows = bars.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *PRICES)
+    for symbol in symbols:
+        rows.where(F.col("symbol") == symbol).drop("symbol").write.mode("overwrite").option("header", True).csv(f"{root}/{timeframe}/{symbol}.csv")
+
+
 def read_csv_actions(spark: SparkSession, root: str, symbol: str) -> DataFrame:
     """Corporate actions from <root>/actions/<SYMBOL>.csv; none if the file is missing."""
     path = f"{root}/actions/{symbol}.csv"
