@@ -75,7 +75,7 @@ def _context(intents: DataFrame, portfolios: DataFrame, positions: DataFrame, co
     rows = rows.join(portfolios, "portfolio_id").join(sums, "portfolio_id", "left").join(same, ["portfolio_id", "symbol"], "left").join(sector, ["portfolio_id", "sector"], "left")
     if correlations is not None:  # a, b, corr of trailing returns known at decision time, both ways
         close = correlations.where(F.col("corr") >= limits.correlation)
-        linked = rows.select("intent_id", "portfolio_id", F.col("symbol").alias("a")).join(close, "a").join(held, ["portfolio_id"]).where("b = _sym").groupBy("intent_id").agg(F.sum("_risk").alias("_linked"))
+        linked = rows.select("intent_id", "portfolio_id", F.col("symbol").alias("a")).join(close, "a").join(held.withColumnRenamed("_sym", "b"), ["portfolio_id", "b"]).groupBy("intent_id").agg(F.sum("_risk").alias("_linked"))
         known = correlations.select(F.col("a").alias("symbol")).distinct().withColumn("_known", F.lit(True))
         rows = rows.join(linked, "intent_id", "left").join(known, "symbol", "left")
     else:

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import compute
+from ..functions.staged import Staged
 from ..operators import regime as regimes
 from ..operators.quality import Limits as QualityLimits
 from ..operators.quality import validate
 from ..operators.risk import Limits, evaluate
 from .state import cut
-from .strategy import Strategy, bind, decide, version
+from .strategy import Strategy, bind, decisions, version
 
 TRADABLE = ("PAPER", "APPROVED", "ACTIVE")
 
@@ -27,11 +27,39 @@ class Slot:
     health: float = 1.0
 
 
-def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot], portfolios: DataFrame, positions: DataFrame, benchmark: str | None = None, sectors: DataFrame | None = None, limits: Limits = Limits(), correlations: DataFrame | None = None, quality: QualityLimits = QualityLimits()) -> tuple[DataFrame, DataFrame]:
+def entries(universe: DataFrame, slots: list[Slot], trend: DataFrame | None = None) -> DataFrame:
+    """One row per symbol and slot whose last bar decides to enter; a symbol needs two bars.
+
+    All features are computed once; all strategies are columns of one projection over them, of which each symbol's last row is kept and
+    taken apart: more strategies mean a wider row, not more passes.  A strategy that restricts regimes is left out where trend is not given.
+    """
+    bound = [(s, bind(s.strategy)) for s in slots if s.strategy.allowed_regimes is None or trend is not None]
+    rows = compute(universe, [f for _, plan in bound for f in plan.features])
+    if trend is not None:
+        rows = rows.join(trend.select("ts", F.col("trend").alias("_regime")), "ts", "left")
+    staged = Staged(rows)
+    made = []
+    for slot, plan in bound:
+        d = decisions(plan, staged)
+        fixed = [F.lit(slot.strategy_id).alias("strategy_id"), F.lit(version(slot.strategy)).alias("strategy_version"), F.lit(float(slot.health)).alias("strategy_health")]
+        made.append(F.struct(*fixed, *[d[c].alias(c) for c in ("long_entry", "short_entry", "stop_dist", "tp_dist", "rank")]))
+    if not made:
+        made = [F.lit(None).cast("struct<strategy_id: string, strategy_version: string, strategy_health: double, long_entry: boolean, short_entry: boolean, stop_dist: double, tp_dist: double, rank: double>")]
+    last = staged.df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("ts", "available_at", "close", F.array(*made).alias("slots")), "ts").alias("b")).where("n >= 2")
+    hit = last.select("symbol", "b.ts", "b.available_at", "b.close", F.explode("b.slots").alias("s")).where("s.long_entry or s.short_entry")
+    side = F.when(F.col("s.long_entry"), 1).otherwise(-1)
+    return hit.select(
+        "s.strategy_id", "s.strategy_version", "s.strategy_health", "symbol", side.alias("direction"), F.col("close").alias("entry"),
+        (F.col("close") - side * F.col("s.stop_dist")).alias("stop"), (F.col("close") + side * F.col("s.tp_dist")).alias("target"), "s.rank", F.col("ts").alias("bar_ts"), "available_at",
+    )
+
+
+def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot], portfolios: DataFrame, positions: DataFrame, benchmark: str | None = None, sectors: DataFrame | None = None, limits: Limits = Limits(), correlations: DataFrame | None = None, quality: QualityLimits = QualityLimits(), follows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(signals, invalid) at asof.
 
-    signals: one row per symbol and tradable strategy whose last known bar decides to enter: side, entry, stop, target,
-    the risk verdict and a snapshot.  invalid: symbols left out, with their error codes; none stops the others.
+    signals: one row per symbol, tradable strategy whose last known bar decides to enter and portfolio that follows it: side, entry, stop, target,
+    the risk verdict and a snapshot.  follows (strategy_id, portfolio_id): who follows what; unless given, every portfolio follows all.
+    invalid: symbols left out, with their error codes; none stops the others.
     The benchmark is cut at asof like all others, and is not scanned itself.
     """
     known = bars.where(F.col("available_at") <= asof)
@@ -44,22 +72,12 @@ def scan(bars: DataFrame, calendar: DataFrame, asof: Column, slots: list[Slot],
         trend = regimes.classify(clean.where(F.col("symbol") == benchmark))
         universe = clean.where(F.col("symbol") != benchmark)
     active = [s for s in slots if s.status in TRADABLE]
-    features = cut(compute(universe, [f for s in active for f in bind(s.strategy).features]))
-    decided = []
-    for slot in active:
-        if slot.strategy.allowed_regimes is not None and trend is None:
-            continue
-        rows = decide(slot.strategy, universe, trend, features=features)
-        last = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("ts", "available_at", "close", "long_entry", "short_entry", "stop_dist", "tp_dist", "rank"), "ts").alias("b"))
-        hit = last.where("n >= 2 and (b.long_entry or b.short_entry)")
-        side = F.when(F.col("b.long_entry"), 1).otherwise(-1)
-        decided.append(hit.select(
-            F.lit(slot.strategy_id).alias("strategy_id"), F.lit(version(slot.strategy)).alias("strategy_version"), F.lit(slot.health).alias("strategy_health"), "symbol", side.alias("direction"), F.col("b.close").alias("entry"),
-            (F.col("b.close") - side * F.col("b.stop_dist")).alias("stop"), (F.col("b.close") + side * F.col("b.tp_dist")).alias("target"), F.col("b.rank").alias("rank"), F.col("b.ts").alias("bar_ts"), F.col("b.available_at").alias("available_at"),
-        ))
-    found = reduce(DataFrame.unionByName, decided)
-    found = found.withColumn("intent_id", F.concat_ws("|", "symbol", "strategy_id")).join(portfolios.select("portfolio_id"), how="cross")
-    found = found.withColumns({"intent_id": F.concat_ws("|", "intent_id", "portfolio_id"), "shortable": F.when(F.col("direction") > 0, True)})
+    # what was found is read twice: by the verdict, and to be told with it
+    found = cut(entries(universe, active, trend))
+    if follows is None:
+        follows = portfolios.select(F.explode(F.array(*[F.lit(s.strategy_id) for s in active]).cast("array<string>")).alias("strategy_id"), "portfolio_id")
+    found = found.join(follows.select("strategy_id", "portfolio_id"), "strategy_id")
+    found = found.withColumns({"intent_id": F.concat_ws("|", "symbol", "strategy_id", "portfolio_id"), "shortable": F.when(F.col("direction") > 0, True)})
     if sectors is not None:
         found = found.join(sectors.select("symbol", "sector"), "symbol", "left")
     verdict = evaluate(found, portfolios, positions, limits, correlations)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import compute, feature
@@ -218,6 +218,17 @@ def truncation_check(spark, sf):
     return rs.Bench(src.order_bars(spark, sf), _SETUP).causal(_CROSS, ["1997-03-03", "1999-09-09"]).groupBy("cut").agg(F.count(F.lit(1)).alias("n"))
 
 
+def truncation_caught(spark, sf):
+    """B14 on decisions that look ahead, to a rise on the next bar: they change at the last bar before each cut."""
+
+    def ahead(bars):
+        rise = F.lead("close").over(Window.partitionBy("symbol").orderBy("ts")) > F.col("close")
+        none = F.lit(None).cast("double")
+        return bars.select("symbol", "ts", F.coalesce(rise, F.lit(False)).alias("long_entry"), *[F.lit(False).alias(c) for c in ("short_entry", "long_exit", "short_exit")], *[none.alias(c) for c in ("stop_dist", "tp_dist", "rank")])
+
+    return tidy(rs.changed(ahead, src.order_bars(spark, sf), ["1997-03-03", "1999-09-09"]))
+
+
 def _rows(spark, found: dict) -> DataFrame:
     rows = [(k, (v or {}).get("n_trades"), (v or {}).get("total_return"), (v or {}).get("sharpe")) for k, v in found.items()]
     return tidy(spark.createDataFrame(rows, "run string, n_trades long, total_return double, sharpe double"))
@@ -337,7 +348,7 @@ def paper_fills(spark, sf):
 QUERIES = {f.__name__: f for f in (
     metrics_equity, metrics_drawdowns, metrics_trades, metrics_equity_sliced, metrics_drawdowns_sliced, metrics_trades_sliced, metrics_monthly, metrics_yearly, metrics_by_regime, metrics_concentration, metrics_moments, trade_report_cube, baseline_buy_and_hold, baseline_risk_free,
     portfolio_covariance, portfolio_allocation, portfolio_concentration, calibration_table, calibrated_confidence, strategy_decay, risk_decisions, risk_decisions_micro, lifecycle_requests, simulated_trades, simulated_equity,
-    conservation, truncation_check, cost_sensitivity, rule_ablation, walk_forward_folds, walk_forward, parameter_robustness, monte_carlo_shuffle, monte_carlo_bootstrap, sharpe_scores, strategy_scores, walk_forward_summary, market_scan,
+    conservation, truncation_check, truncation_caught, cost_sensitivity, rule_ablation, walk_forward_folds, walk_forward, parameter_robustness, monte_carlo_shuffle, monte_carlo_bootstrap, sharpe_scores, strategy_scores, walk_forward_summary, market_scan,
     stream_bars_batch, stream_session_windows, paper_fills,
 )}
 
@@ -496,3 +507,5 @@ ORACLES["strategy_decay"] = f"""WITH {_TRADES}, days AS (SELECT o_orderpriority
     q AS (SELECT *, least(pw, pe) AS worst FROM p)
     SELECT run_id, n AS n_trades, round(pw, 5) + 0.0 AS p_win_rate, round(pe, 5) + 0.0 AS p_expectancy, round(pf, 5) + 0.0 AS p_frequency, round(excess, 5) + 0.0 AS slippage_excess_bps, round(drawdown, 5) + 0.0 AS drawdown, breach, round(least(1, worst / 0.05) * CASE WHEN breach THEN 0.5 ELSE 1 END, 5) + 0.0 AS health,
       CASE WHEN breach AND worst < 0.01 THEN 'DISABLE' WHEN breach OR worst < 0.01 THEN 'UNDER_REVIEW' WHEN worst < 0.05 OR pf < 0.01 THEN 'DEGRADED' ELSE 'KEEP' END AS recommendation FROM q"""
+ORACLES["truncation_caught"] = f"""WITH {BARS}, c AS (SELECT unnest(['1997-03-03', '1999-09-09']) AS cut), n AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS after FROM bars)
+    SELECT symbol, ts, cut FROM (SELECT n.*, cut FROM n JOIN c ON ts <= cut::TIMESTAMP QUALIFY row_number() OVER (PARTITION BY symbol, cut ORDER BY ts DESC) = 1) WHERE after > close"""
