@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import clean_number
-from .storage import exists
+from .storage import exists, names, publish, remove
 
 PRICES = ["open", "high", "low", "close", "volume"]
 BAR_SCHEMA = "ts string, open string, high string, low string, close string, volume string"
@@ -81,28 +84,66 @@ def shipment_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_bars(items, F.col("l_returnflag"), F.date_trunc("day", "l_shipdate"), F.col("l_extendedprice") * (1 - F.col("l_discount")), order, F.col("l_quantity"))
 
 
+def _current(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """The number of a store's last manifest and its rows (timeframe, symbol, version); 0 and None for a new store."""
+    known = [int(n.split("-")[1]) for n in names(spark, path) if n.startswith("manifest-")]
+    return max(known, default=0), spark.read.schema("timeframe string, symbol string, version string").parquet(f"{path}/manifest-{max(known):08d}") if known else None
+
+
+def _same(a: str, b: str) -> Column:
+    return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("timeframe", "symbol")])
+
+
 def store_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     """Replace the stored range [first, last] of each symbol by bars; running it twice changes nothing.
 
-    The store is Parquet, partitioned by timeframe and symbol; only partitions that bars touches are rewritten.
+    The store is Parquet, partitioned by version, timeframe and symbol.  The new state of the symbols that bars touches is written as a version of its own; then a manifest, which says what version of each symbol counts, is
+    given its name in one step.  Until then readers see the old state, whole, and a write that fails leaves it so; of two writers at once one gets an error.
     """
     spark = bars.sparkSession
     new = bars.withColumn("timeframe", F.lit(timeframe))
-    if exists(spark, path):
+    number, known = _current(spark, path)
+    if known is not None:
         old = load_bars(spark, path)
-        ranges = new.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        kept = old.where(F.col("timeframe") == timeframe).join(ranges, "symbol").where("ts < lo or ts > hi").drop("lo", "hi")
+        ranges = new.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).withColumnRenamed("symbol", "_symbol")
+        kept = old.where(F.col("timeframe") == timeframe).join(ranges, F.col("symbol").eqNullSafe(F.col("_symbol"))).where("ts < lo or ts > hi").drop("lo", "hi", "_symbol")
         new = kept.unionByName(new, allowMissingColumns=True)
-    # Spark refuses to overwrite what it reads, so the new state is cut from the old files first
-    from ..plans.state import cut
-
-    cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "symbol").parquet(path)
+    version = uuid.uuid4().hex
+    folder = f"{path}/data/version={version}"
+    new.write.partitionBy("timeframe", "symbol").parquet(folder)
+    parts = spark.read.schema(_as_text(new.schema)).option("basePath", folder).parquet(folder).select("timeframe", "symbol").distinct().withColumn("version", F.lit(version))
+    if known is not None:
+        parts = parts.unionByName(known.alias("a").join(parts.alias("b"), _same("a", "b"), "left_anti"))
+    staged = f"{path}/_staged-{version}"
+    parts.coalesce(1).write.parquet(staged)
+    publish(spark, staged, f"{path}/manifest-{number + 1:08d}")
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Remove versions that the last manifest does not name, and older manifests; returns what was removed.  No writer or reader of an older state may be at work."""
+    number, known = _current(spark, path)
+    if known is None:
+        return []
+    used = {f"version={r.version}" for r in known.select("version").distinct().collect()}
+    gone = [f"data/{n}" for n in names(spark, f"{path}/data") if n.startswith("version=") and n not in used] + [n for n in names(spark, path) if n.startswith("_staged-") or n.startswith("manifest-") and int(n.split("-")[1]) < number]
+    for n in gone:
+        remove(spark, f"{path}/{n}")
+    return gone
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    """Partition columns as text; Spark would take the folder name 1d for a number."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("timeframe", "symbol", "version") else f for f in schema])
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The store with its partition columns as text; Spark would take the folder name 1d for a number."""
-    found = spark.read.parquet(path).schema
-    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("timeframe", "symbol") else f for f in found])).parquet(path)
+    """The store as its last manifest has it; that is a row for each symbol and timeframe, and prunes the scan's partitions."""
+    _, known = _current(spark, path)
+    if known is None:
+        raise FileNotFoundError(f"no store at {path}")
+    rows = spark.read.schema(_as_text(spark.read.parquet(f"{path}/data").schema)).parquet(f"{path}/data")
+    met = rows.alias("a").join(F.broadcast(known).alias("b") if known.count() <= 1 << 20 else known.alias("b"), _same("a", "b") & (F.col("a.version") == F.col("b.version")), "left_semi")
+    return met.drop("version")
 
 
 def load_bars(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
