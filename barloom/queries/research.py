@@ -113,8 +113,7 @@ _NAMES = ["A", "N", "R"]
 
 def portfolio_covariance(spark, sf):
     """The shrunk matrix as rows."""
-    cov = portfolio.shrunk_covariance(_returns(spark, sf), _NAMES)
-    return tidy(spark.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(_NAMES) for j, b in enumerate(_NAMES)], "a string, b string, cov double"))
+    return tidy(portfolio.shrunk_pairs(_returns(spark, sf), _NAMES))
 
 
 def portfolio_allocation(spark, sf):
