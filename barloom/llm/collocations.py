@@ -243,6 +243,7 @@ def _heads(longest: int):
         for langs, texts in _stretches(batches):
             paths = Paths.of(langs, texts, longest)
             picked = [[w[:_HEAD] for w in paths.path(i)] for i in range(_EVERY // 2, len(paths.counts), _EVERY)]
+            del paths  # before the next shard's
             yield pa.RecordBatch.from_arrays([pa.array(picked, pa.list_(pa.binary()))], ["path"])
 
     return run
@@ -259,6 +260,7 @@ def _tries(longest: int, bounds: list[tuple[bytes, ...]]):
                 if lo < hi:
                     blob, size = paths.write(lo, hi)
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["part", "size", "trie"])
+            del paths  # before the next shard's
 
     return run
 
