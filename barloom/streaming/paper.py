@@ -1,6 +1,7 @@
 """A paper broker as a stateful stream: orders and bars in, fills and refusals out, one state per account.
 
 The same step function serves a batch (replay) and a stream (match_stream), so both give the same fills.
+An account is walked in order, since its cash ties its orders; a batch is one pass, which holds an Arrow batch and the account's open orders.
 It simulates only; no order leaves the process.
 """
 
@@ -11,7 +12,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.simulate import Fees, Market
@@ -21,8 +23,14 @@ INPUT = "account string, at timestamp, seq long, kind string, symbol string, ord
 OUTPUT = "account string, at timestamp, order_id string, symbol string, status string, qty double, price double, commission double, cash double, position double, reason string"
 
 
-def fresh(cash: float) -> dict:
-    return {"cash": cash, "held": {}, "average": {}, "orders": {}, "done": {}}
+def fresh(cash: float, once: bool = False) -> dict:
+    """An account without orders; once: no order comes twice, so that closed ones need not be remembered."""
+    return {"cash": cash, "held": {}, "average": {}, "orders": {}, "done": None if once else {}}
+
+
+def _remember(state: dict, order_id: str) -> None:
+    if state["done"] is not None:
+        state["done"][order_id] = 1
 
 
 def _problem(state: dict, row) -> str | None:
@@ -53,19 +61,19 @@ def _reference(order: dict, bar) -> float | None:
 def step(state: dict, row, fees: Fees, market: Market) -> list[tuple]:
     """Take one row into an account's state; returns output rows without the account.
 
-    Of an order that is no longer open only its id is kept, so that sending it again changes nothing.
+    Of an order that is no longer open only its id is kept, so that sending it again changes nothing; not even that, where none comes twice.
     """
 
     def close(order_id: str) -> None:
         del state["orders"][order_id]
-        state["done"][order_id] = 1
+        _remember(state, order_id)
 
     if row.kind == "order":
-        if row.order_id in state["orders"] or row.order_id in state["done"]:
+        if row.order_id in state["orders"] or row.order_id in (state["done"] or ()):
             return []  # sent again: nothing changes
         problem = _problem(state, row)
         if problem:
-            state["done"][row.order_id] = 1
+            _remember(state, row.order_id)
         else:
             state["orders"][row.order_id] = {"symbol": row.symbol, "side": row.side, "type": row.order_type, "left": row.qty, "limit": row.limit_price, "stop": row.stop_price}
         return [(row.at, row.order_id, row.symbol, "REJECTED" if problem else "NEW", 0.0, None, 0.0, state["cash"], state["held"].get(row.symbol, 0.0), problem)]
@@ -105,9 +113,42 @@ def _run(account: str, state: dict, pdf: pd.DataFrame, fees: Fees, market: Marke
     return pd.DataFrame(rows, columns=_NAMES)
 
 
+#: Output rows that are handed on at once
+_PIECE = 10_000
+
+
+def _walked(cash: float, fees: Fees, market: Market):
+    """Rows of whole accounts, each in order and without orders sent again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, out = None, None, []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if last is None or row.account != last[0]:
+                    last, state = (row.account,), fresh(cash, once=True)
+                out += [(row.account, *x) for x in step(state, row, fees, market)]
+                if len(out) >= _PIECE:
+                    yield pd.DataFrame(out, columns=_NAMES)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=_NAMES)
+                out = []
+
+    return run
+
+
+def _first_sent(rows: DataFrame) -> DataFrame:
+    """rows without the orders whose id their account has sent before."""
+    order = F.coalesce(F.col("kind") == "order", F.lit(False))
+    sent = Window.partitionBy("account", "order_id").orderBy(F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last())
+    first = rows.where(order).withColumn("_sent", F.row_number().over(sent)).where("_sent = 1").drop("_sent")
+    return first.unionByName(rows.where(~order))
+
+
 def replay(rows: DataFrame, cash: float, fees: Fees = Fees(), market: Market = Market()) -> DataFrame:
-    """All fills and refusals of INPUT rows, account by account."""
-    return rows.groupBy("account").applyInPandas(lambda key, pdf: _run(key[0], fresh(cash), pdf, fees, market), OUTPUT)
+    """All fills and refusals of INPUT rows, account by account, each a stream of sorted rows through one task."""
+    dealt = _first_sent(rows).repartition("account").sortWithinPartitions("account", F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last())
+    return dealt.mapInPandas(_walked(cash, fees, market), OUTPUT)
 
 
 def match_stream(rows: DataFrame, cash: float, fees: Fees = Fees(), market: Market = Market()) -> DataFrame:

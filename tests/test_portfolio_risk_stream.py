@@ -2,15 +2,18 @@
 
 import math
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.stats import binomial_cdf, student_cdf
 from barloom.operators import lifecycle, metrics, portfolio, risk, selection
-from barloom.operators.simulate import Market
+from barloom.operators.simulate import Fees, Market
 from barloom.streaming import bars as sb
+from barloom.streaming import paper
 from barloom.streaming.paper import INPUT, match_stream, reconcile, replay
 
 from .helpers import sessions
@@ -185,6 +188,45 @@ def test_paper_stream_equals_replay(spark, tmp_path):
     assert sorted(map(str, spark.table("fills_out").collect())) == sorted(map(str, want))
 
 
+def test_replay_streams_accounts(spark):
+    """Many batches an account, orders sent again in other batches: rows as of one walk that remembers all ids, and each batch's rows before the next is taken."""
+    names = [f.split()[0] for f in INPUT.split(", ")]
+    market = Market(participation=0.05)
+    rows = []
+    for account in ("a", "b", None):
+        for d in range(1, 13):
+            rows.append((account, *bar(d, 100 + d, 103 + d, 97 + d, 100 + d, 100)[1:]))
+            for k in range(4):
+                n = (3 * d + k) % 20  # ids come again, some with another type
+                rows.append((account, *order(d, 200 + k, f"o{n}", "SELL" if n % 5 == 4 else "BUY", ["MARKET", "LIMIT", "STOP"][(n + d) % 3], qty=2.0 + n, limit=99.0 + n, stop=104.0 + n)[1:]))
+    table = pd.DataFrame(rows, columns=names)
+    want = [r for account, own in table.groupby("account", dropna=False) for r in paper._run(None if pd.isna(account) else account, paper.fresh(2e3), own, Fees(), market).itertuples(index=False)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = replay(spark.createDataFrame(rows, INPUT).repartition(7), 2e3, market=market).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = lambda r: tuple(None if pd.isna(x) else str(x) for x in r)
+    assert sorted(map(plain, got), key=str) == sorted(map(plain, want), key=str) and {r.status for r in got} == {"NEW", "REJECTED", "FILLED", "PARTIALLY_FILLED"}
+
+    taken = []
+    own = table[table.account == "a"].drop_duplicates("order_id").sort_values(["at", "seq"])
+    batches = (taken.append(k) or own[k : k + 5] for k in range(0, len(own), 5))
+    for out in paper._walked(2e3, Fees(), market)(batches):
+        assert list(out.columns) == paper._NAMES and set(out["at"]) <= set(own[taken[-1] : taken[-1] + 5]["at"])
+    assert len(taken) == -(-len(own) // 5)
+
+
+def test_closed_orders_leave_nothing(spark):
+    """An account whose orders come once keeps its open ones only."""
+    names = [f.split()[0] for f in INPUT.split(", ")]
+    state = paper.fresh(1e6, once=True)
+    for d in range(1, 20):
+        for row in (order(d, 2, f"m{d}", qty=1.0), order(d, 3, f"bad{d}", kind="LIMIT"), bar(d, 100, 101, 99, 100, 1e6)):
+            paper.step(state, SimpleNamespace(**dict(zip(names, row, strict=True))), Fees(), Market())
+    assert state["orders"] == {} and not state["done"] and state["held"]["X"] == 19
+
+
 def test_reconcile(spark):
     q = lambda *rows: spark.createDataFrame(list(rows), "symbol string, qty double")
     assert {r.symbol for r in reconcile(q(("A", 1.0), ("B", 2.0)), q(("A", 1.0), ("C", 3.0))).collect()} == {"B", "C"}
